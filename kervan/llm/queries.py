@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship_package, table
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .quality import quality_scores
 from .token_counts import token_counts
 from .token_output import token_id_roundtrip
 from .topk_search import top_k
+from .toxicity import toxicity_scores
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +20,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return top_k(table(spark, sf_dir, "embeddings"), k=10)
@@ -42,6 +54,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
     "op5_exact_topk": op5_exact_topk,
     "op6_token_ids": op6_token_ids,
     "op8_exact_dedup": op8_exact_dedup,
