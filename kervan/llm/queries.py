@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship_package, table
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .packing import pack_documents
 from .quality import quality_scores
 from .token_counts import token_counts
 from .token_output import token_id_roundtrip
@@ -40,6 +41,11 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_roundtrip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_exact_topk": op5_exact_topk,
     "op6_token_ids": op6_token_ids,
+    "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
