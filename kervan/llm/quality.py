@@ -159,6 +159,25 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     return slim.mapInArrow(run, f"{id_col} long, score double")
 
 
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose whole text scores at least the threshold, with all their columns and without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches):
+        table, bias = sent.value
+        for batch in batches:
+            keep = []
+            text = batch.column(at_text).cast(pa.string())
+            for at, n in sub_batches(text, SUB_BATCH):
+                raw, offsets = flat_bytes(text.slice(at, n))
+                odds = margins(raw, offsets, table) + bias
+                keep.append(1 / (1 + np.exp(-np.clip(odds, -50, 50))) >= threshold)
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 4, held: int = 2, threshold: float = 0.7, bound: int = SAMPLE_DOCS) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted."""
     scored = score(docs, fit(docs, labels, label_col, modulus, held, bound))

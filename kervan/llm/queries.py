@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship_package, table
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
 from .token_counts import token_counts
@@ -21,6 +22,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -60,6 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_quality": op4_quality,
     "op5_exact_topk": op5_exact_topk,
