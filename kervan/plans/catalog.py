@@ -1,4 +1,6 @@
 """Registered queries and their reference SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import extraction, offers, web
+
+QUERIES: dict = {**web.QUERIES, **extraction.QUERIES, **offers.QUERIES}
+ORACLE: dict = {**web.ORACLE, **extraction.ORACLE, **offers.ORACLE}

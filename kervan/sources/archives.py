@@ -64,7 +64,7 @@ def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
 def sitemap_lines(robots: DataFrame, text_col: str = "value", seq_col: str = "seq") -> DataFrame:
     """URLs of the Sitemap: lines of robots files, first spelling of each; foreign hosts are allowed."""
     found = robots.select(F.trim(F.regexp_extract(text_col, r"(?i)^\s*sitemap:\s*(\S+)", 1)).alias("url"), seq_col).filter("url <> ''")
-    return dedupe_urls(found)
+    return dedupe_urls(found, "url", seq_col)
 
 
 def json_shape(df: DataFrame, json_col: str) -> DataFrame:
