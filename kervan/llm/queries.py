@@ -10,6 +10,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
+from .repeated_spans import repeated_spans
 from .token_counts import token_counts
 from .token_output import token_id_roundtrip
 from .topk_search import top_k
@@ -32,6 +33,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return repeated_spans(table(spark, sf_dir, "documents"), span=50)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -68,6 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_repeated_spans": op3_repeated_spans,
     "op4_quality": op4_quality,
     "op5_exact_topk": op5_exact_topk,
     "op6_token_ids": op6_token_ids,
