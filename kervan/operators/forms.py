@@ -54,7 +54,7 @@ def variant_fields(options: DataFrame) -> DataFrame:
     return sizes.filter("words >= 2").groupBy("page_id").agg(F.max_by("name", F.struct("n", -F.col("first"))).alias("name"))
 
 
-def variant_key(label: Column, composed: bool = False) -> Column:
+def variant_key(label: Column, composed: bool = True) -> Column:
     """struct(dimension, key): the first rule with a pattern in the folded label, else a vocabulary key equal to its slug."""
     key = match_key(label, composed)
     rules = [F.when(_contains_any(key, words), F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("key"))) for d, k, words in V.VARIANT_RULES]
@@ -63,7 +63,7 @@ def variant_key(label: Column, composed: bool = False) -> Column:
     return F.coalesce(*rules, *own)
 
 
-def variant_candidates(options: DataFrame, composed: bool = False) -> DataFrame:
+def variant_candidates(options: DataFrame, composed: bool = True) -> DataFrame:
     """Options of the variant field with their variant key; labels that match nothing stay null."""
     chosen = options.join(variant_fields(options), ["page_id", "name"])
     return chosen.withColumn("v", variant_key(F.col("label"), composed)).select("page_id", "name", "pre", "label", "value", F.col("v.dimension").alias("dimension"), F.col("v.key").alias("variant_key"))
@@ -106,7 +106,7 @@ def allowed_terms(nodes: DataFrame) -> DataFrame:
     return per.groupBy("page_id").agg(F.min_by("terms", "first").alias("allowed_terms"))
 
 
-def legal_notice(text: Column, composed: bool = False) -> Column:
+def legal_notice(text: Column, composed: bool = True) -> Column:
     """The first sentence with a hint that the figures do not bind."""
     sentences = F.split(tidy(text), r"(?<=[.!?])\s+")
     return F.try_element_at(F.filter(sentences, lambda s: _contains_any(ascii_fold(lower_tr(s)), V.NOTICE_HINTS)), F.lit(1))

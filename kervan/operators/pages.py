@@ -3,11 +3,12 @@
 Node table: page_id, node_id (= pre, document order), parent_id, pre, post (pre of the last node inside), depth, tag,
 cls, id, attrs, text (of text nodes, and of headings, titles, cells, labels, options, captions and links as a whole),
 subtree_len, block (changes at block tags), cell (changes at table cells), table_no, row_no, col_no, ends (last node of
-the 1st to 4th ancestor). Node a holds node b if they are of one page and a.pre < b.pre <= a.post.
+the 1st to 4th ancestor). Texts are NFKC-normalised while parsing, so no later job needs a second Python stage. Node a holds node b if they are of one page and a.pre < b.pre <= a.post.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,6 +27,7 @@ _VOID = {"br", "img", "input", "meta", "link", "hr", "area", "base", "col", "emb
 _ENDS = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _WHOLE_TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "title", "td", "th", "caption", "label", "option", "a", "strong", "b", "dt", "span", "em"}
 _RAW = {"script", "style"}
+_NO_ZERO_WIDTH = dict.fromkeys(map(ord, V.ZERO_WIDTH))
 
 
 class _Nodes(HTMLParser):
@@ -87,6 +89,8 @@ class _Nodes(HTMLParser):
             self._close()
 
     def handle_data(self, data):
+        if not data.isascii():
+            data = unicodedata.normalize("NFKC", data.translate(_NO_ZERO_WIDTH))
         if data.strip() and not (self.stack and self.stack[-1]["tag"] in _RAW):
             row = self._open("#text", {}, data)
             size = len(" ".join(data.split()))
@@ -163,7 +167,7 @@ def main_content(nodes: DataFrame) -> DataFrame:
     return framed.filter(keep).drop("_best", "_body", "_whole", "_use")
 
 
-def clean_text(nodes: DataFrame, composed: bool = False) -> DataFrame:
+def clean_text(nodes: DataFrame, composed: bool = True) -> DataFrame:
     """page_id, clean_text: block tags break lines, table cells are set apart by ' | ', boilerplate lines go."""
     texts = nodes.filter("tag = '#text'").select("page_id", "block", "cell", "pre", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text"))
     ordered = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", c))), lambda s: s[c]), sep)
@@ -173,7 +177,7 @@ def clean_text(nodes: DataFrame, composed: bool = False) -> DataFrame:
     return pages.select("page_id", strip_boilerplate(F.col("text"), composed).alias("clean_text"))
 
 
-def page_titles(nodes: DataFrame, ignored: tuple[str, ...] = (), composed: bool = False) -> DataFrame:
+def page_titles(nodes: DataFrame, ignored: tuple[str, ...] = (), composed: bool = True) -> DataFrame:
     """page_id, title: first usable h1, else h2, else og:title, else title (the last two are not checked)."""
     key = lambda c: match_key(c, composed)
     rank = F.when(F.col("tag") == "h1", 1).when(F.col("tag") == "h2", 2).when((F.col("tag") == "meta") & (F.col("attrs")["property"] == "og:title"), 3).when(F.col("tag") == "title", 4)
@@ -193,7 +197,7 @@ def table_cells(nodes: DataFrame) -> DataFrame:
     return cells.withColumn("_n", filled).filter("_n > 0").drop("_n")
 
 
-def section_texts(nodes: DataFrame, keywords: tuple[str, ...], composed: bool = False) -> DataFrame:
+def section_texts(nodes: DataFrame, keywords: tuple[str, ...], composed: bool = True) -> DataFrame:
     """page_id, section: text under the first heading that contains a keyword, up to the next heading; an inline
     heading without text beside it looks in up to three ancestors. The first heading with text wins."""
     texts = F.array_sort(F.collect_list(F.when(F.col("tag") == "#text", F.struct("pre", "text", "block"))).over(_page()))
@@ -250,13 +254,13 @@ def table_captions(nodes: DataFrame) -> DataFrame:
     return joined.groupBy("page_id", "table_no").agg(F.coalesce(F.min_by(inside, F.when(inside.isNotNull(), F.col("cpre"))), F.first("near")).alias("caption"))
 
 
-def variant_of(caption: Column, composed: bool = False) -> Column:
+def variant_of(caption: Column, composed: bool = True) -> Column:
     """Variant key of the first marker in the caption; null without one."""
     key = match_key(caption, composed)
     return F.coalesce(*[F.when(key.contains(marker), F.lit(value)) for marker, value in V.VARIANT_MARKERS])
 
 
-def header_field(header: Column, composed: bool = False) -> Column:
+def header_field(header: Column, composed: bool = True) -> Column:
     """Candidate fields of a header cell, in alias order."""
     key = match_key(header, composed)
     hits = [F.when(F.lit(False) if not names else _any(key, names), F.lit(field)) for field, names in V.COLUMN_ALIASES.items()]
@@ -270,7 +274,7 @@ def _any(key: Column, words: tuple[str, ...]) -> Column:
     return test
 
 
-def rate_tables(nodes: DataFrame, composed: bool = False) -> DataFrame:
+def rate_tables(nodes: DataFrame, composed: bool = True) -> DataFrame:
     """Rows of tables that have a rate column and at least two values: term and the percentages, the table's caption and
     variant, and the row as evidence. Columns take the first field of theirs that no column to the left took."""
     cells = table_cells(nodes)
@@ -320,7 +324,7 @@ def card_labels(nodes: DataFrame, label_class: str, levels: int = 3) -> DataFram
     return found.groupBy("page_id", "pre").agg(F.min_by("label", "level").alias("label"))
 
 
-def campaign_rows(pages: DataFrame, titles: DataFrame, texts: DataFrame, conditions: DataFrame, periods: DataFrame, composed: bool = False) -> DataFrame:
+def campaign_rows(pages: DataFrame, titles: DataFrame, texts: DataFrame, conditions: DataFrame, periods: DataFrame, composed: bool = True) -> DataFrame:
     """One campaign row per page with a title: slug, title, description, conditions, window and participation."""
     from ..functions import urls as U
     from ..functions.text import first_line

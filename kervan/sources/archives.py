@@ -17,7 +17,7 @@ from ..operators.discovery import dedupe_urls
 def read_page_archive(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
     """path, html of every saved page under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("html"))
+    return files.select("path", F.decode("content", "UTF-8").alias("html"))
 
 
 @F.pandas_udf(StringType())
