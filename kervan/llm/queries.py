@@ -101,4 +101,21 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op9_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          CAST('0x' || substr(md5('17:' || doc_id), 1, 15) AS BIGINT) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+        w AS (SELECT *, CAST([3, 1, 2][r % 3 + 1] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+        o AS (SELECT *, cap / weight AS ratio, sum(cap) OVER q - cap AS cap_before, sum(weight) OVER q - weight AS weight_before,
+                     sum(weight) OVER () AS all_weight, CAST(sum(source_size) OVER () AS DOUBLE) AS total
+              FROM w WINDOW q AS (ORDER BY cap / weight, r ROWS UNBOUNDED PRECEDING)),
+        l AS (SELECT (SELECT level FROM (SELECT (1.5::DOUBLE * total - cap_before) / (all_weight - weight_before) AS level, ratio, r FROM o) WHERE level < ratio ORDER BY ratio, r LIMIT 1) AS level),
+        t AS (SELECT source, source_size, least(cap, coalesce(weight * level, cap)) AS target FROM w, l),
+        p AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS whole FROM t),
+        n AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, round(p.target - p.whole * p.source_size) AS need,
+                     sum(d.size) OVER (PARTITION BY d.source, d.h) AS here, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS upto
+              FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(whole * size + CASE WHEN need <= 0 OR upto - here >= need THEN 0 WHEN upto <= need THEN size ELSE round(size * ((need - (upto - here)) / here)) END AS BIGINT) AS taken
+        FROM n""",
 }
