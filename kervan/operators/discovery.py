@@ -89,7 +89,7 @@ def discover_links(nodes: DataFrame, listings: DataFrame) -> DataFrame:
     listings: page_id, url, priority, category, is_archive (one row per listing page).
     """
     anchors = nodes.filter("tag = 'a'").select("page_id", "pre", F.col("attrs")["href"].alias("href"))
-    joined = anchors.join(listings, "page_id").withColumn("link", U.resolve(F.col("href"), F.col("url")))
+    joined = anchors.join(listings.hint("merge"), "page_id").withColumn("link", U.resolve(F.col("href"), F.col("url")))
     joined = joined.filter("link IS NOT NULL").withColumn("page_key", U.canonical_key(F.col("link")))
     return first_by(joined, ["page_key"], F.col("is_archive"), F.col("priority"), F.col("page_id"), F.col("pre")).select("page_key", "link", "category", "is_archive", "priority")
 

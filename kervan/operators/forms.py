@@ -34,7 +34,7 @@ def control_labels(nodes: DataFrame, controls: DataFrame) -> DataFrame:
     around = labels.groupBy("page_id").agg(F.collect_list(F.struct("lpre", "lpost", "ltext")).alias("around"))
     inside = F.filter("around", lambda s: (s["lpre"] < F.col("pre")) & (F.col("pre") <= s["lpost"]))
     nearest = F.array_max(F.transform(inside, lambda s: F.struct(s["lpre"].alias("at"), s["ltext"].alias("text"))))["text"]
-    joined = controls.join(named, ["page_id", "html_id"], "left").join(around, "page_id", "left")
+    joined = controls.join(named.hint("merge"), ["page_id", "html_id"], "left").join(around.hint("merge"), "page_id", "left")
     return joined.withColumn("label", F.coalesce("named", nearest)).drop("named", "around")
 
 
@@ -43,7 +43,7 @@ def form_options(nodes: DataFrame) -> DataFrame:
     selects = form_controls(nodes).filter("kind = 'select'").groupBy("page_id").agg(F.collect_list(F.struct("pre", "post", "name")).alias("selects"))
     options = nodes.filter("tag = 'option'").select("page_id", "pre", F.col("attrs")["value"].alias("value"), tidy(F.col("text")).alias("label"))
     owner = F.try_element_at(F.filter("selects", lambda s: (s["pre"] < F.col("pre")) & (F.col("pre") <= s["post"])), F.lit(1))
-    rows = options.join(selects, "page_id").withColumn("name", owner["name"]).filter("name IS NOT NULL AND (value IS NULL OR trim(value) <> '')")
+    rows = options.join(selects.hint("merge"), "page_id").withColumn("name", owner["name"]).filter("name IS NOT NULL AND (value IS NULL OR trim(value) <> '')")
     return rows.select("page_id", "name", "pre", F.coalesce("value", "label").alias("value"), "label")
 
 
@@ -65,7 +65,7 @@ def variant_key(label: Column, composed: bool = True) -> Column:
 
 def variant_candidates(options: DataFrame, composed: bool = True) -> DataFrame:
     """Options of the variant field with their variant key; labels that match nothing stay null."""
-    chosen = options.join(variant_fields(options), ["page_id", "name"])
+    chosen = options.join(variant_fields(options).hint("merge"), ["page_id", "name"])
     return chosen.withColumn("v", variant_key(F.col("label"), composed)).select("page_id", "name", "pre", "label", "value", F.col("v.dimension").alias("dimension"), F.col("v.key").alias("variant_key"))
 
 
@@ -118,4 +118,4 @@ def mechanisms(requests: DataFrame, controls: DataFrame) -> DataFrame:
     n = controls.groupBy("page_id", "tried").agg(F.count("name").alias("n_controls"))
     c = lambda x: F.coalesce(F.col(x), F.lit(0))
     kind = F.when(~F.col("tried"), "unknown").when(c("n_input") > 0, "api").when(c("n_load") > 0, "js_with_rate_fetch").when(F.col("n_controls") > 0, "js_client_side").otherwise("none")
-    return n.join(calls, "page_id", "left").select("page_id", kind.alias("mechanism"))
+    return n.join(calls.hint("merge"), "page_id", "left").select("page_id", kind.alias("mechanism"))

@@ -234,7 +234,7 @@ def catch_all_pages(pages: DataFrame, homes: DataFrame) -> DataFrame:
     Sites without a home page give nothing."""
     known = homes.select("site", fingerprint(F.col("clean_text")).alias("print")).filter("print <> ''").distinct()
     printed = pages.withColumn("print", fingerprint(F.col("clean_text")))
-    return printed.join(known, ["site", "print"], "left_semi").drop("print")
+    return printed.join(known.hint("merge"), ["site", "print"], "left_semi").drop("print")
 
 
 def table_captions(nodes: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def table_captions(nodes: DataFrame) -> DataFrame:
     own = nodes.filter("tag = 'caption'").select("page_id", F.col("pre").alias("cpre"), tidy(F.col("text")).alias("own"))
     own = own.filter("own <> ''")
     numbered = F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))
-    joined = found.withColumn("table_no", numbered).join(own, "page_id", "left")
+    joined = found.withColumn("table_no", numbered).join(own.hint("merge"), "page_id", "left")
     inside = F.when((F.col("cpre") > F.col("pre")) & (F.col("cpre") <= F.col("post")), F.col("own"))
     return joined.groupBy("page_id", "table_no").agg(F.coalesce(F.min_by(inside, F.when(inside.isNotNull(), F.col("cpre"))), F.first("near")).alias("caption"))
 
@@ -293,7 +293,7 @@ def rate_tables(nodes: DataFrame, composed: bool = True) -> DataFrame:
     rows = cells.filter("row_no > _head").groupBy("page_id", "table_no", "row_no").agg(
         F.map_from_entries(F.collect_list(F.struct("col_no", "text"))).alias("cells"), F.array_sort(F.collect_list(F.struct("col_no", "text"))).alias("line")
     )
-    joined = rows.join(columns.select("page_id", "table_no", "fields"), ["page_id", "table_no"])
+    joined = rows.join(columns.select("page_id", "table_no", "fields").hint("merge"), ["page_id", "table_no"])
     raw = lambda f: F.nullif(F.try_element_at("cells", F.try_element_at("fields", F.lit(f))), F.lit(""))
     pct = lambda f: E.rate(E.prepare(raw(f), composed)).cast("decimal(8,4)").alias(f)
     term_raw = raw("term_months")
@@ -305,7 +305,7 @@ def rate_tables(nodes: DataFrame, composed: bool = True) -> DataFrame:
     filled = sum((F.when(F.col(f).isNotNull(), 1).otherwise(0) for f in V.COLUMN_ALIASES), F.lit(0))
     typed = typed.filter(filled >= V.MIN_FILLED)
     captions = table_captions(nodes).withColumn("variant_key", variant_of(F.col("caption"), composed))
-    return typed.join(captions, ["page_id", "table_no"], "left").withColumn("variant_label", F.when(F.col("variant_key").isNotNull(), F.col("caption")))
+    return typed.join(captions.hint("merge"), ["page_id", "table_no"], "left").withColumn("variant_label", F.when(F.col("variant_key").isNotNull(), F.col("caption")))
 
 
 def card_labels(nodes: DataFrame, label_class: str, levels: int = 3) -> DataFrame:
@@ -317,10 +317,10 @@ def card_labels(nodes: DataFrame, label_class: str, levels: int = 3) -> DataFram
     up = anchors.withColumn("level", F.lit(1)).withColumn("anc", F.col("parent_id"))
     steps = up
     for level in range(2, levels + 1):
-        moved = up.join(parents, (up["page_id"] == parents["page_id"]) & (up["anc"] == parents["pid"])).select(up["page_id"], "pre", "ends", "parent_id", F.lit(level).alias("level"), F.col("gid").alias("anc"))
+        moved = up.join(parents.hint("merge"), (up["page_id"] == parents["page_id"]) & (up["anc"] == parents["pid"])).select(up["page_id"], "pre", "ends", "parent_id", F.lit(level).alias("level"), F.col("gid").alias("anc"))
         steps, up = steps.unionByName(moved), moved
     hit = F.try_element_at(F.filter("labels", lambda s: (s["lpre"] > F.col("anc")) & (s["lpre"] <= F.try_element_at("ends", F.col("level")))), F.lit(1))
-    found = steps.filter("anc IS NOT NULL").join(per_page, "page_id").withColumn("label", hit["label"]).filter("label IS NOT NULL")
+    found = steps.filter("anc IS NOT NULL").join(per_page.hint("merge"), "page_id").withColumn("label", hit["label"]).filter("label IS NOT NULL")
     return found.groupBy("page_id", "pre").agg(F.min_by("label", "level").alias("label"))
 
 
@@ -331,10 +331,10 @@ def campaign_rows(pages: DataFrame, titles: DataFrame, texts: DataFrame, conditi
 
     joined = (
         pages.select("page_id", "url")
-        .join(titles, "page_id")
-        .join(texts, "page_id", "left")
-        .join(conditions.withColumnRenamed("section", "conditions_text"), "page_id", "left")
-        .join(periods.withColumnRenamed("section", "period_text"), "page_id", "left")
+        .join(titles.hint("merge"), "page_id")
+        .join(texts.hint("merge"), "page_id", "left")
+        .join(conditions.withColumnRenamed("section", "conditions_text").hint("merge"), "page_id", "left")
+        .join(periods.withColumnRenamed("section", "period_text").hint("merge"), "page_id", "left")
     )
     windows = [E.validity_window(E.prepare(F.col(c), composed)) for c in ("period_text", "conditions_text", "clean_text")]
     chosen = E.first_known_window(*windows)

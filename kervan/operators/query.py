@@ -55,7 +55,7 @@ def apply_filters(campaigns: DataFrame, filters: Filters, labels: DataFrame | No
     for axis, values in filters.axes.items():
         if values:
             wanted = labels.filter((F.col("axis") == axis) & F.col("value").isin(values)).select("campaign_id")
-            out = out.join(wanted, "campaign_id", "left_semi")
+            out = out.join(wanted.hint("merge"), "campaign_id", "left_semi")
     return out
 
 
@@ -83,9 +83,9 @@ def list_campaigns(campaigns: DataFrame, banks: DataFrame, filters: Filters, lab
 
 def with_labels(items: DataFrame, labels: DataFrame) -> DataFrame:
     """Nested labels, empty where there are none; only the labels of these items are gathered."""
-    own = labels.join(items.select("campaign_id"), "campaign_id", "left_semi")
+    own = labels.join(items.select("campaign_id").hint("merge"), "campaign_id", "left_semi")
     nested = own.groupBy("campaign_id").agg(F.array_sort(F.collect_list(F.struct("axis", "value", "confidence"))).alias("labels"))
-    return items.join(nested, "campaign_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast(nested.schema["labels"].dataType)))
+    return items.join(nested.hint("merge"), "campaign_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast(nested.schema["labels"].dataType)))
 
 
 def campaign_detail(campaigns: DataFrame, banks: DataFrame, documents: DataFrame, labels: DataFrame, campaign_id: int) -> DataFrame:

@@ -83,7 +83,7 @@ def strongest(labels: DataFrame) -> DataFrame:
 
 def with_fallback(labels: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Campaigns without a sector get the general one with low confidence."""
-    bare = campaigns.select("campaign_id").join(labels.filter("axis = 'sector'").select("campaign_id"), "campaign_id", "left_anti")
+    bare = campaigns.select("campaign_id").join(labels.filter("axis = 'sector'").select("campaign_id").hint("merge"), "campaign_id", "left_anti")
     fallback = bare.select(
         "campaign_id", F.lit("sector").alias("axis"), F.lit(V.FALLBACK_SECTOR).alias("value"), F.lit("keyword").alias("source"), F.lit(V.FALLBACK_CONFIDENCE).cast("decimal(4,3)").alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.lit(10**6).alias("seq")
     )

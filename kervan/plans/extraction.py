@@ -218,7 +218,7 @@ def form_variants(s, d):
 def form_sampling(s, d):
     ship_package(s)
     n = P.page_nodes(_part_pages(s, d))
-    c = M.combination_counts(n).join(M.allowed_terms(n), "page_id", "left").join(M.amount_bounds(n), "page_id", "left")
+    c = M.combination_counts(n).join(M.allowed_terms(n).hint("merge"), "page_id", "left").join(M.amount_bounds(n).hint("merge"), "page_id", "left")
     return c.select("page_id", F.col("combinations").cast("long").alias("combinations"), M.sampling_decision(F.col("combinations"), F.lit("api")).alias("decision"), F.array_join("allowed_terms", ",").alias("terms"), _double(F.col("amount_min")).alias("amount_min"), _double(F.col("amount_max")).alias("amount_max"))
 
 
