@@ -26,6 +26,8 @@ BUCKET_BITS = 16
 GRAMS = (3, 5)
 SAMPLE_DOCS = 8_000
 SUB_BATCH = 256 << 10
+#: Small samples are seen more often, up to 60 times.
+MIN_STEPS = 6_000
 
 
 def feature_sets(raw: np.ndarray, offsets: np.ndarray):
@@ -91,6 +93,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epoch
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BUCKET_BITS, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
+    epochs = max(epochs, min(60, -(-MIN_STEPS // len(samples))))
     step, steps = 0, epochs * len(samples)
     for _ in range(epochs):
         for i in rng.permutation(len(samples)):
