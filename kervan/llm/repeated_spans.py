@@ -188,7 +188,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = shuffle_partitions(spark)
     total = content.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     chunks = max(parts, -(-total // CHUNK_BYTES))
-    buckets = 4 * parts
+    buckets = 2 * parts
     content = content.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
 
     name = f"kervan_spans_{uuid.uuid4().hex}"
