@@ -11,10 +11,10 @@ takes the darts below rank t / weight (about t darts whatever its size), spreads
 keeps the earliest dart of each coordinate; documents that leave a coordinate empty look further up.
 
 Banding: `bands` groups of `rows` coordinates are hashed and documents with an equal band hash meet in a bucket. A
-bucket's members are compared with its smallest member, the head, never all with all; in further rounds, members that
-are not in the head's component meet the smallest of them and another document that is linked to the head, until a
-round finds no new link. Every compared pair is verified exactly on its shingles. Equal texts are reduced to one
-representative before, and joined back at the end.
+bucket's members are first compared with its smallest member, the head, which settles most buckets. In buckets that
+still span several components, each member outside the head's component is compared with every member of another
+component, so that no link inside a bucket is missed. Every compared pair is verified exactly on its shingles. Equal
+texts are reduced to one representative before, and joined back at the end.
 
 Defined results: texts without a word (null, empty, blank) form no group unless their normalised texts are equal;
 repeated rows and equal texts share a class; rows with a null id are reported with class null and stay; an empty table
@@ -37,6 +37,8 @@ from .tokenizing import sub_batches
 
 SHINGLE = 5
 SUB_BATCH = 512 << 10
+#: Counts and postings that one step of a comparison holds.
+TILE = 4 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,14 +124,21 @@ def band_hashes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, bucket long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity on shingles is at least the threshold."""
+def shingle_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, units): the sorted units of weight of the texts whose id is in ids (want)."""
 
-    def shingles(batches):
+    def run(batches):
         for batch, units, bounds in _each(batches, 1):
             blobs = [np.sort(units[s:e]).tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], ["id", "units"])
 
+    sets = small_join(texts, ids.withColumnRenamed("want", "id"), "id", "left_semi").mapInArrow(run, "id long, units binary")
+    return stage(sets, "shingle_sets")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity on shingles is at least the threshold."""
+
     def compare(batches):
         for batch in batches:
             keep = []
@@ -144,49 +153,104 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
-    sets = small_join(texts, ids.withColumnRenamed("want", "id"), "id", "left_semi").mapInArrow(shingles, "id long, units binary")
-    sets = stage(sets, "shingle_sets")
+    sets = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct())
     left = small_join(sets.select(F.col("id").alias("a"), F.col("units").alias("units_a")), pairs, "a")
     right = sets.select(F.col("id").alias("b"), F.col("units").alias("units_b"))
     met = left.join(right.hint("merge"), "b").select("a", "b", "units_a", "units_b")
     return stage(met.mapInArrow(compare, "a long, b long"), "links")
 
 
-def near_links(texts: DataFrame, threshold: float, bands: int, rows: int, max_rounds: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Verified links between different texts (id, text), and the components they make."""
+def _spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... (lengths[i] of them), end to end."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def joining_links(sets: list[np.ndarray], labels: np.ndarray, n_rows: int, inner: bool, threshold: float) -> list[tuple[int, int]]:
+    """Compares each of the first n_rows sets with all later sets (inner: those among the first n_rows too) of another
+    label. Of the links, those that join two labels, each of which takes over the other then: a spanning forest."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    doc = np.repeat(np.arange(n), sizes)
+    _, code, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Units that many sets hold are counted by a matrix product (at most 8 cells a unit of input), others by postings.
+    common_code = seen > max(n // 8, 8)
+    dense_at = common_code[code]
+    matrix = np.zeros((n, int(common_code.sum())), np.float32)
+    matrix[doc[dense_at], (np.cumsum(common_code) - 1)[code[dense_at]]] = 1
+    rare = ~dense_at & (seen[code] > 1)
+    doc, code = doc[rare], code[rare]
+    order = np.argsort(code, kind="stable")
+    posting, first = doc[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(seen)))])
+    at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
+    work = np.concatenate([[0], np.cumsum((first[code + 1] - first[code]))])[at] + np.arange(n + 1) * n
+    _, labels = np.unique(labels, return_inverse=True)
+    out, start = [], 0
+    while start < n_rows:
+        end = min(max(int(np.searchsorted(work, work[start] + TILE, "right")) - 1, start + 1), n_rows)
+        left = start if inner else n_rows
+        common = np.rint(matrix[start:end] @ matrix[left:].T).astype(np.int64)
+        mine = code[at[start] : at[end]]
+        many = first[mine + 1] - first[mine]
+        other = posting[_spread(many, first[mine])] - left
+        row = np.repeat(doc[at[start] : at[end]] - start, many)[other >= 0]
+        common += np.bincount(row * (n - left) + other[other >= 0], minlength=common.size).reshape(common.shape)
+        link = common >= threshold * (sizes[start:end, None] + sizes[None, left:] - common)
+        x, y = np.nonzero(link & (labels[start:end, None] != labels[None, left:]))
+        x, y = x + start, y + left
+        while len(x):
+            out.append((int(x[0]), int(y[0])))
+            labels[labels == labels[y[0]]] = labels[x[0]]
+            apart = labels[x] != labels[y]
+            x, y = x[apart], y[apart]
+        start = end
+    return out
+
+
+def rest_links(buckets: DataFrame, parts: DataFrame | None, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """The links that join components inside the buckets (bucket, id, n, head); the head has met all members before."""
+    members = buckets.filter("n > 2").select("bucket", "id", "head").distinct()
+    if parts is not None:
+        members = small_join(members, parts.withColumnRenamed("label", "mine"), "id", "left")
+        members = small_join(members, parts.select(F.col("id").alias("head"), F.col("label").alias("its")), "head", "left")
+        members = members.select("bucket", "id", F.coalesce("mine", "id").alias("label"), (F.coalesce("mine", "id") != F.coalesce("its", "head")).alias("rest"))
+    else:
+        members = members.select("bucket", "id", F.col("id").alias("label"), (F.col("id") != F.col("head")).alias("rest"))
+    members = stage(members, "members")
+    # A single member outside the head's component has met a head without others; otherwise there is something to compare.
+    still = members.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count_if(~F.col("rest")).alias("n_main")).filter("n_rest > 1 OR n_rest = 1 AND n_main > 1")
+    members = stage(members.join(still.hint("merge"), "bucket").select("bucket", "id", "label", "rest"), "open_members")
+    if members.isEmpty():
+        return None
+    sets = shingle_sets(texts, members.select(F.col("id").alias("want")).distinct())
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, labels, rest = (group.column(c).to_numpy() for c in ("id", "label", "rest"))
+        _, once = np.unique(ids, return_index=True)
+        order = once[np.lexsort((ids[once], ~rest[once]))]
+        units = group.column("units")
+        found = joining_links([np.frombuffer(units[int(i)].as_buffer(), np.uint64) for i in order], labels[order], int(rest[order].sum()), True, threshold)
+        ends = np.sort(ids[order][np.array(found, np.int64).reshape(-1, 2)], axis=1)
+        return pa.table([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    met = members.join(sets.hint("merge"), "id").select("bucket", "id", "label", "rest", "units")
+    return stage(met.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct(), "rest_links")
+
+
+def near_links(texts: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Verified links between different texts (id, text), and the components they make; both None without links."""
     buckets = stage(band_hashes(texts, bands, rows), "bands")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n > 1")
     buckets = stage(buckets.join(shared.hint("merge"), "bucket"), "buckets")
-    links, tried, parts = None, None, None
-    rest = buckets.filter("n > 2 AND id <> head").select("bucket", "id", "head")
-    for round_no in range(max_rounds):
-        if parts is None:
-            met = buckets.select("id", F.col("head").alias("other")).filter("id <> other")
-        else:
-            # A bucket of two has been compared. In larger ones, the members that are neither linked to the head nor in
-            # its component meet the smallest of them, and a document that is linked to the head.
-            if round_no == 1:
-                rest = rest.join(links.select(F.col("a").alias("head"), F.col("b").alias("id")).hint("merge"), ["head", "id"], "left_anti")
-            rest = small_join(rest.drop("mine", "its"), parts.withColumnRenamed("label", "mine"), "id", "left")
-            rest = small_join(rest, parts.select(F.col("id").alias("head"), F.col("label").alias("its")), "head", "left")
-            rest = stage(rest.filter("coalesce(mine, id) <> coalesce(its, head)"), "rest")
-            least = rest.groupBy("bucket").agg(F.min("id").alias("other"))
-            beside = links.groupBy(F.col("a").alias("head")).agg(F.min_by("b", F.xxhash64(F.lit(round_no), "b")).alias("other"))
-            met = rest.join(least.hint("merge"), "bucket").select("id", "other").unionByName(small_join(rest, stage(beside, "beside"), "head").select("id", "other")).filter("id <> other")
-        pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = verified(pairs, texts, threshold)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
+    pairs = stage(buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return None, None
+    links = verified(pairs, texts, threshold)
+    parts = None if links.isEmpty() else connected_components(links)
+    more = rest_links(buckets, parts, texts, threshold)
+    if more is not None and not more.isEmpty():
+        links = links.unionByName(more)
         parts = connected_components(links)
-    return links, parts
+    return (None, None) if parts is None else (links, parts)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:

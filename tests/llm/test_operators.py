@@ -114,6 +114,37 @@ def test_near_duplicates(docs, rows, empty):
     assert {r["doc_id"] for r in drop_near_duplicates(docs).collect()} == set(want.values())
 
 
+def one_bucket(monkeypatch):
+    """Every text meets every other in one bucket, whatever the signatures are."""
+    from pyspark.sql import functions as F
+
+    from kervan.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "band_hashes", lambda texts, bands, rows: texts.select("id", F.lit(0).cast("long").alias("bucket")))
+    return near_dedup
+
+
+def family(rng, n_pairs):
+    """Pairs of near copies that share most of one template; members of different pairs stay below 0.8."""
+    template, rows = words(rng, 100).split(), []
+    for i in range(n_pairs):
+        w = template[:]
+        for at in (10, 40, 70):
+            w[at] = f"pair{i}x{at}"
+        rows += [" ".join(w), " ".join(w[:-1] + ["other"])]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_near_duplicates_many_groups_in_a_bucket(spark, monkeypatch):
+    one_bucket(monkeypatch)
+    rows = family(random.Random(11), 30)
+    want = near_brute(rows)
+    assert len(set(want.values())) == 30
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def spans_brute(rows, span=50):
     by_id = {}
     for r in rows:
