@@ -13,7 +13,7 @@ keeps the earliest dart of each coordinate; documents that leave a coordinate em
 Banding: `bands` groups of `rows` coordinates are hashed and documents with an equal band hash meet in a bucket. A
 bucket's members are first compared with its smallest member, the head, which settles most buckets. In buckets that
 still span several components, each member outside the head's component is compared with every member of another
-component, so that no link inside a bucket is missed. Every compared pair is verified exactly on its shingles. Equal
+component, so that no link inside a bucket is missed; large buckets are cut into blocks for it. Every compared pair is verified exactly on its shingles. Equal
 texts are reduced to one representative before, and joined back at the end.
 
 Defined results: texts without a word (null, empty, blank) form no group unless their normalised texts are equal;
@@ -39,6 +39,8 @@ SHINGLE = 5
 SUB_BATCH = 512 << 10
 #: Counts and postings that one step of a comparison holds.
 TILE = 4 << 20
+#: A bucket with more units of weight than this is compared in blocks of about this size.
+BLOCK_UNITS = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -224,16 +226,29 @@ def rest_links(buckets: DataFrame, parts: DataFrame | None, texts: DataFrame, th
     sets = shingle_sets(texts, members.select(F.col("id").alias("want")).distinct())
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, labels, rest = (group.column(c).to_numpy() for c in ("id", "label", "rest"))
+        ids, labels, first, inner = (group.column(c).to_numpy() for c in ("id", "label", "first", "inner"))
         _, once = np.unique(ids, return_index=True)
-        order = once[np.lexsort((ids[once], ~rest[once]))]
+        order = once[np.lexsort((ids[once], ~first[once]))]
         units = group.column("units")
-        found = joining_links([np.frombuffer(units[int(i)].as_buffer(), np.uint64) for i in order], labels[order], int(rest[order].sum()), True, threshold)
+        found = joining_links([np.frombuffer(units[int(i)].as_buffer(), np.uint64) for i in order], labels[order], int(first[order].sum()), bool(inner[0]), threshold)
         ends = np.sort(ids[order][np.array(found, np.int64).reshape(-1, 2)], axis=1)
         return pa.table([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-    met = members.join(sets.hint("merge"), "id").select("bucket", "id", "label", "rest", "units")
-    return stage(met.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct(), "rest_links")
+    # The rest is cut into q blocks, the head's component into p. Rest block i meets rest block j > i as (i, j), block m of
+    # the head's component as (i, q + m), and itself within (i, q).
+    weight = members.join(sets.select("id", (F.octet_length("units") / 8).alias("weight")).hint("merge"), "id")
+    blocks = weight.groupBy("bucket").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, F.col("weight"))) / BLOCK_UNITS)).alias(n) for n, side in (("q", F.col("rest")), ("p", ~F.col("rest")))))
+    blocked = members.join(blocks.hint("merge"), "bucket").withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("q")).otherwise(F.col("p"))))
+    meets = F.expr(
+        """if(rest,
+            concat(
+                transform(filter(sequence(0L, q - 1), x -> x <> k), x -> struct(least(k, x) AS i, greatest(k, x) AS j, k < x AS first)),
+                transform(sequence(q, q + p - 1), x -> struct(k AS i, x AS j, true AS first))),
+            transform(sequence(0L, q - 1), x -> struct(x AS i, q + k AS j, false AS first)))"""
+    )
+    dealt = blocked.select("bucket", "id", "label", "q", F.explode(meets).alias("at")).select("bucket", "id", "label", "at.*", (F.col("at.j") == F.col("q")).alias("inner"))
+    met = dealt.join(sets.hint("merge"), "id").select("bucket", "i", "j", "id", "label", "first", "inner", "units")
+    return stage(met.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "rest_links")
 
 
 def near_links(texts: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame | None, DataFrame | None]:

@@ -145,6 +145,19 @@ def test_near_duplicates_many_groups_in_a_bucket(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in got} == want
 
 
+def test_near_duplicates_head_without_a_link(spark, monkeypatch):
+    near_dedup = one_bucket(monkeypatch)
+    rng = random.Random(3)
+    rows = [(0, words(rng, 80))] + [(i + 1, t) for i, t in family(rng, 1)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {0: 0, 1: 1, 2: 1}
+    # A bucket above the bound is compared block against block.
+    monkeypatch.setattr(near_dedup, "BLOCK_UNITS", 400)
+    rows = family(rng, 20)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == near_brute(rows)
+
+
 def spans_brute(rows, span=50):
     by_id = {}
     for r in rows:
