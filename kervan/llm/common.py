@@ -68,6 +68,20 @@ def small_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") ->
     return rows.join(few, F.col(key).eqNullSafe(F.col("_few_key")), how).drop("_few_key")
 
 
+def one_row_each(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
+    """One row of docs (with _digest) for each row of kept (_kept_id, _kept_digest, and _rows, the number of such rows in
+    docs), with the columns of both. Which of the rows that repeat id and text stays is not defined."""
+    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
+    once = docs.join(kept.filter("_rows = 1").hint("merge"), same)
+    many = kept.filter("_rows > 1")
+    n_many = many.count()
+    if not n_many:
+        return once
+    # Rows that repeat are reduced in each task before they meet.
+    many = docs.join(F.broadcast(many) if n_many <= BROADCAST_ROWS else many.hint("merge"), same)
+    return once.unionByName(many.dropDuplicates(["_kept_id", "_kept_digest"]))
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array, end to end, and the n + 1 offsets; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,14 +15,18 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stage, text_or_empty
+from .common import one_row_each, shuffle_partitions, stage, text_or_empty
 
 KEY = ["_digest", "_bytes", "_check"]
 
 
+def lowered_text(text_col: str) -> Column:
+    return F.translate(text_or_empty(text_col), string.ascii_uppercase, string.ascii_lowercase)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 8) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
@@ -31,8 +35,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rounds, runs = rounds + 1, runs * fan_in
     best = F.max if keep == "largest" else F.min
 
-    text = F.translate(text_or_empty(text_col), string.ascii_uppercase, string.ascii_lowercase)
-    keyed = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).select(
+    keyed = docs.select(F.col(id_col).alias("_id"), lowered_text(text_col).alias("_text")).select(
         "_id",
         F.unhex(F.sha2("_text", 256)).alias("_digest"),
         F.octet_length("_text").cast("long").alias("_bytes"),
@@ -66,6 +69,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs.select(id_col, text_col), id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One row of each text, with all its columns; of rows that repeat id and text one stays."""
+    kept = exact_groups(docs.select(id_col, text_col), id_col, text_col, **options).filter("kept")
+    kept = kept.groupBy(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_digest")).agg(F.count("*").alias("_rows"))
+    rows = docs.withColumn("_digest", F.sha2(lowered_text(text_col), 256))
+    return one_row_each(rows, stage(kept, "kept_texts"), id_col).select(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_words import LOWER, NOT_SPACE, Words, mix64
-from .common import flat_bytes, small_join, stage, text_or_empty
+from .common import flat_bytes, one_row_each, small_join, stage, text_or_empty
 from .components import connected_components
 from .tokenizing import sub_batches
 
@@ -285,7 +285,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return label.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = stage(near_duplicates(docs.select(id_col, text_col), id_col, text_col, **options).filter("NOT kept").select(id_col), "near_gone")
-    return small_join(docs, gone, id_col, "left_anti")
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 20, rows: int = 4
+) -> DataFrame:
+    """One row of each group, with all its columns: one with the smallest id, null ids last.
+
+    Texts are told apart by their digest and not by an id, so that repeated rows, repeated ids and null ids count too.
+    """
+    digests = docs.withColumn("_digest", F.sha2(text_or_empty(text_col), 256))
+    per_id = digests.groupBy("_digest", F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
+    best = per_id.groupBy("_digest").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_n")).alias("best"))
+    firsts = best.select(F.col("_digest").alias("_kept_digest"), F.col("best._id").alias("_kept_id"), F.col("best._n").alias("_rows"))
+    # Numbers of texts in the order of their ids.
+    numbers = firsts.orderBy(F.col("_kept_id").asc_nulls_last(), "_kept_digest").withColumn("_number", F.monotonically_increasing_id())
+    single = stage(one_row_each(digests, stage(numbers, "near_numbers"), id_col).select(*docs.columns, "_number"), "near_single")
+    _, parts = near_links(single.select(F.col("_number").alias("id"), text_or_empty(text_col).alias("text")), threshold, bands, rows)
+    if parts is None:
+        return single.drop("_number")
+    gone = stage(parts.filter("id <> label").select(F.col("id").alias("_number")), "near_gone")
+    return small_join(single, gone, "_number", "left_anti").select(*docs.columns)

@@ -158,6 +158,16 @@ def test_near_duplicates_head_without_a_link(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in got} == near_brute(rows)
 
 
+def test_repeated_rows_go_once(spark):
+    rng = random.Random(5)
+    a, b, c, d = (words(rng, 40) for _ in range(4))
+    near = " ".join(a.split()[:-1] + ["other"])
+    rows = [(1, a), (1, a), (3, a), (3, b), (3, b), (None, c), (None, c), (None, b), (4, near), (3, near), (5, d)]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "test_repeated")
+    assert Counter(map(tuple, drop_copies(docs).collect())) == Counter([(3, a), (3, b), (None, c), (4, near), (5, d)])
+    assert Counter(map(tuple, drop_near_duplicates(docs).collect())) == Counter([(1, a), (3, b), (None, c), (5, d)])
+
+
 def spans_brute(rows, span=50):
     by_id = {}
     for r in rows:
