@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_join, stage
 
 
-def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, label) for every id in pairs (a, b); label is the smallest id of its component.
 
     Each round takes the smallest label among neighbours and then jumps to the label's own label, so the rounds grow
     with the logarithm of the longest chain. Each round is staged; nothing is collected but counts. A table of labels
-    below the counted broadcast bound is broadcast, beyond it the joins shuffle both sides.
+    below the counted broadcast bound is broadcast, beyond it the joins shuffle both sides. The rounds end when no label
+    changes; labels only fall, so they do end. With max_rounds, a table that needs more of them is an error.
     """
     both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     both = stage(both, "edges")
     labels = stage(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
-    for _ in range(max_rounds):
+    for round_no in itertools.count(1):
         near = small_join(both, labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("near"))
         step = small_join(labels, stage(near, "near"), "id", "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         step = stage(step, "labels")
@@ -27,5 +30,6 @@ def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         jumped = stage(jumped, "labels")
         labels = jumped.select("id", "label")
         if jumped.filter("label <> old").isEmpty():
-            break
-    return labels
+            return labels
+        if round_no == max_rounds:
+            raise RuntimeError(f"components are not complete after {max_rounds} rounds")

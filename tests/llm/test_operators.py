@@ -168,6 +168,15 @@ def test_repeated_rows_go_once(spark):
     assert Counter(map(tuple, drop_near_duplicates(docs).collect())) == Counter([(1, a), (3, b), (None, c), (5, d)])
 
 
+def test_components_are_complete(spark):
+    from kervan.llm.components import connected_components
+
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
+    assert {tuple(r) for r in connected_components(pairs).collect()} == {(i, 1) for i in range(1, 41)}
+    with pytest.raises(RuntimeError):
+        connected_components(pairs, max_rounds=1)
+
+
 def spans_brute(rows, span=50):
     by_id = {}
     for r in rows:
