@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,14 @@ import regex
 
 from .common import flat_bytes
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
+CACHE_WORDS = 500_000
+ENCODE_AT_ONCE = 8_192
 # Two white-space characters together, at an end, or any that is not a space or a line feed.
 _IRREGULAR = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}][ \n]|[ \n][\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}]|^[ \n]|[ \n]$|\x00"
 # What the two JSON tokenizers' own split patterns separate: a piece is taken apart along these before it is looked up.
-_SPLIT_SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Pieces are split many at a time, with a zero character between them, which no piece holds.
+_WORDS = regex.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x00]+|\s+(?!\S)|\s+")
 
 _WORKER: dict[str, "Pieces"] = {}
 
@@ -37,18 +41,52 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(library.encode() + b"\0" + f.read()).hexdigest()
 
 
+class _Rows:
+    """Rows of token ids, end to end in one array that grows; a row is known by its number."""
+
+    def __init__(self, dtype):
+        self.flat, self.used = np.zeros(1 << 20, dtype), 0
+        self.start, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def append(self, flat: np.ndarray, sizes: np.ndarray) -> range:
+        """Adds rows of the given sizes; returns their numbers."""
+        used, n = self.used + len(flat), self.n + len(sizes)
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * used - self.used, self.flat.dtype)])
+        if n > len(self.start):
+            more = np.zeros(2 * n - self.n, np.int64)
+            self.start, self.size = np.concatenate([self.start[: self.n], more]), np.concatenate([self.size[: self.n], more])
+        self.flat[self.used : used] = flat
+        self.size[self.n : n] = sizes
+        self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        added = range(self.n, n)
+        self.used, self.n = used, n
+        return added
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows, end to end, and the end of each row."""
+        sizes = self.size[rows]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.start[rows] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at], ends
+
+
 class Pieces:
     """One tokenizer and the ids of the pieces that were met."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.kind = "sp" if path.endswith(".model") else "json"
+        self.special = None
         if self.kind == "sp":
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-            names = (self.model.id_to_piece(i) for i in range(self.model.vocab_size()))
-            self.cuttable = all("▁" not in x.lstrip("▁") for x in names)
+            names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+            # User-defined pieces are matched before all else, so one with white space inside could span a cut.
+            own = [x for i, x in enumerate(names) if not (self.model.is_unknown(i) or self.model.is_control(i) or self.model.is_byte(i))]
+            self.cuttable = all("▁" not in x.lstrip("▁") and "\n" not in x for x in own)
             self.spaced, self.width = False, 4
         else:
             from tokenizers import Tokenizer
@@ -59,46 +97,76 @@ class Pieces:
             # Byte-level tokenizers keep the space before a word; the others drop it.
             self.spaced = self.model.encode("a b", add_special_tokens=False).ids != self.model.encode("a  b", add_special_tokens=False).ids
             self.lowers = self.model.encode("A", add_special_tokens=False).ids == self.model.encode("a", add_special_tokens=False).ids
-            self.cuttable = True
+            # Pieces that hold an added token go to the library as they are; added tokens that reach over white space forbid cuts.
+            added = list(self.model.get_added_tokens_decoder().values())
+            self.cuttable = not any(t.lstrip or t.rstrip or regex.search(r"\s", t.content) for t in added)
+            if added:
+                self.special = regex.compile("|".join(regex.escape(t.content) for t in added), regex.IGNORECASE)
             self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.uint16 if self.width == 2 else np.uint32
-        self.clear()
+        self.known: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.rows = _Rows(self.dtype)
+        self.uses = np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and their number per text."""
+        flats, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        # The library's results are large objects: they are taken over a few at a time.
+        for at in range(0, len(texts), ENCODE_AT_ONCE):
+            some = texts[at : at + ENCODE_AT_ONCE]
+            if self.kind == "sp":
+                found = self.model.encode(some, num_threads=1)
+            else:
+                found = [e.ids for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flats.append(np.fromiter(chain.from_iterable(found), self.dtype, int(sizes[-1].sum())))
+        return np.concatenate(flats), np.concatenate(sizes)
+
+    def _forget(self) -> None:
+        """Keeps the cache bounded: all pieces go, and where words are many, those that were looked up only once."""
+        if len(self.words) > CACHE_WORDS:
+            uses = self.uses[np.fromiter(self.words.values(), np.int64, len(self.words))]
+            least = max(2, int(np.partition(uses, len(uses) // 2)[len(uses) // 2]))
+            self.words = {w: row for (w, row), often in zip(self.words.items(), (uses >= least).tolist()) if often}
+        old, self.rows, self.known = self.rows, _Rows(self.dtype), {}
+        flat, ends = old.take(np.fromiter(self.words.values(), np.int64, len(self.words)))
+        self.words = dict(zip(self.words, self.rows.append(flat, np.diff(ends, prepend=0))))
+        self.uses = np.zeros(self.rows.n, np.int64)
 
-    def clear(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, pieces: list[str]) -> None:
+        """Makes pieces known: the words of a piece, which the tokenizer treats one by one, are looked up and put together."""
         if self.kind == "sp":
-            found = self.model.encode(texts, num_threads=1)
+            whole, split = pieces, []
         else:
-            found = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        return [np.array(x, self.dtype).tobytes() for x in found]
-
-    def _parts(self, piece: str) -> list[str] | None:
-        """The words of a piece, which the tokenizer treats one by one; None: the piece goes to the library as it is."""
-        if self.kind == "sp" or "<|" in piece:
-            return None
-        if self.lowers:
-            if not piece.isascii():
-                return None
-            piece = piece.lower()
-        found = _SPLIT_SPACED.findall(piece)
-        return found if len(found) > 1 or self.lowers else None
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE_PIECES or len(self.words) > CACHE_PIECES:
-            self.clear()
-        known, words = self.known, self.words
-        split = {p: x for p in pieces if (x := self._parts(p)) is not None}
-        new = {w for x in split.values() for w in x if w not in words and w not in known}
-        whole = [p for p in pieces if p not in split]
-        fresh = [*whole, *new]
-        ids = self._encode(fresh)
-        known.update(zip(whole, ids[: len(whole)]))
-        words.update(zip(fresh[len(whole) :], ids[len(whole) :]))
-        for p, x in split.items():
-            known[p] = b"".join([words[w] if w in words else known[w] for w in x])
+            # Lower-casing may change how letters beyond ASCII compose, so such pieces stay whole there.
+            whole = [p for p in pieces if not p.isascii()] if self.lowers else []
+            split = [p for p in pieces if p.isascii()] if self.lowers else pieces
+            if self.special is not None and self.special.search("\0".join(split)):
+                whole += [p for p in split if self.special.search(p)]
+                split = [p for p in split if not self.special.search(p)]
+        if whole:
+            self.known.update(zip(whole, self.rows.append(*self._encode(whole))))
+        if not split:
+            return
+        joined = "\0".join(split)
+        parts = _WORDS.findall(joined.lower() if self.lowers else joined)
+        parts.append("\0")
+        words = self.words
+        fresh = [w for w in set(parts).difference(words) if w != "\0"]
+        if fresh:
+            words.update(zip(fresh, self.rows.append(*self._encode(fresh))))
+        words["\0"] = -1
+        rows = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts))
+        del words["\0"]
+        ends = np.flatnonzero(rows < 0)
+        used = rows[rows >= 0]
+        seen = np.bincount(used, minlength=self.rows.n)
+        seen[: len(self.uses)] += self.uses
+        self.uses = seen
+        flat, upto = self.rows.take(used)
+        upto = np.concatenate([[0], upto])[ends - np.arange(len(ends))]
+        self.known.update(zip(split, self.rows.append(flat, np.diff(upto, prepend=0))))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and the n + 1 offsets of the texts."""
@@ -109,26 +177,14 @@ class Pieces:
         flat, counts = self._cut(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
         coded = flat.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
+        if len(self.known) > CACHE_PIECES:
+            self._forget()
         missing = [p for p in pieces if p not in self.known]
         if missing:
             self._learn(missing)
-            if len(missing) < len(pieces):  # the cache may just have been emptied
-                again = [p for p in pieces if p not in self.known]
-                if again:
-                    self._learn(again)
-        found = [self.known[p] for p in pieces]
-        piece_len = np.fromiter(map(len, found), np.int64, len(found)) // self.width
-        table = np.frombuffer(b"".join(found), self.dtype)
-        start = np.cumsum(piece_len) - piece_len
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        lens = piece_len[codes]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(start[codes] - (ends - lens), lens)
-        at += np.arange(total)
-        out = table[at]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        offsets = np.concatenate([[0], ends])[bounds]
+        rows = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        out, ends = self.rows.take(rows[coded.indices.to_numpy(zero_copy_only=False)])
+        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         if odd.any():
             out, offsets = self._insert(texts, odd, out, offsets)
         return out, offsets
@@ -146,8 +202,9 @@ class Pieces:
 
     def _insert(self, texts: pa.Array, odd: np.ndarray, out: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         where = np.flatnonzero(odd)
-        whole = dict(zip(where.tolist(), self._encode(texts.take(pa.array(where)).to_pylist())))
-        parts = [np.frombuffer(whole[i], self.dtype) if odd[i] else out[offsets[i] : offsets[i + 1]] for i in range(len(odd))]
+        flat, sizes = self._encode(texts.take(pa.array(where)).to_pylist())
+        whole = dict(zip(where.tolist(), np.split(flat, np.cumsum(sizes)[:-1])))
+        parts = [whole[i] if odd[i] else out[offsets[i] : offsets[i + 1]] for i in range(len(odd))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
     def counts(self, texts: pa.Array) -> np.ndarray:
@@ -161,6 +218,11 @@ def worker_pieces(path: str) -> Pieces:
     return _WORKER[path]
 
 
+def release_pieces() -> None:
+    """Gives back the memory of this worker's tokenizers, for stages that need none."""
+    _WORKER.clear()
+
+
 def sub_batches(column: pa.Array, most_bytes: int = 16 << 20):
     """Slices (start, length) of a text column of about most_bytes each, one row at least."""
     _, offsets = flat_bytes(column)
