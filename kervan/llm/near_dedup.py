@@ -10,11 +10,13 @@ generated from the hash of element and unit alone, so equal regions get equal da
 takes the darts below rank t / weight (about t darts whatever its size), spreads them over k coordinates by hash, and
 keeps the earliest dart of each coordinate; documents that leave a coordinate empty look further up.
 
-Banding: `bands` groups of `rows` coordinates are hashed and documents with an equal band hash meet in a bucket. A
-bucket's members are first compared with its smallest member, the head, which settles most buckets. In buckets that
-still span several components, each member outside the head's component is compared with every member of another
-component, so that no link inside a bucket is missed; large buckets are cut into blocks for it. Every compared pair is verified exactly on its shingles. Equal
-texts are reduced to one representative before, and joined back at the end.
+Banding: `bands` groups of `rows` coordinates are hashed and documents with an equal band hash meet in a bucket. Each
+document is first compared with one candidate, the smallest head (smallest member) over all its buckets, which settles
+most of them whatever the number of bands. Documents that are not in the component of all their heads are then compared
+with those other heads. In buckets that still span several components, each member outside the head's component is
+compared with every member of another component, so that no link inside a bucket is missed; large buckets are cut into
+blocks for it. Every compared pair is verified exactly on its shingles. Equal texts are reduced to one representative
+before, and joined back at the end.
 
 Defined results: texts without a word (null, empty, blank) form no group unless their normalised texts are equal;
 repeated rows and equal texts share a class; rows with a null id are reported with class null and stay; an empty table
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_words import LOWER, NOT_SPACE, Words, mix64
-from .common import flat_bytes, one_row_each, small_join, stage, text_or_empty
+from .common import flat_bytes, one_row_each, shuffle_partitions, small_join, stage, text_or_empty
 from .components import connected_components
 from .tokenizing import sub_batches
 
@@ -41,6 +43,8 @@ SUB_BATCH = 512 << 10
 TILE = 4 << 20
 #: A bucket with more units of weight than this is compared in blocks of about this size.
 BLOCK_UNITS = 1 << 20
+#: Members that one copy of their head is sent along with.
+SECTION_MEMBERS = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,32 +138,45 @@ def shingle_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
             blobs = [np.sort(units[s:e]).tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], ["id", "units"])
 
-    sets = small_join(texts, ids.withColumnRenamed("want", "id"), "id", "left_semi").mapInArrow(run, "id long, units binary")
+    ids = stage(ids.distinct(), "wanted").withColumnRenamed("want", "id")
+    sets = small_join(texts, ids, "id", "left_semi").mapInArrow(run, "id long, units binary")
     return stage(sets, "shingle_sets")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity on shingles is at least the threshold."""
+    """The staged pairs (head a, member b) whose weighted Jaccard similarity on shingles is at least the threshold.
+
+    A head's members are dealt to sections of about SECTION_MEMBERS, each of which gets one copy of the head; a section's
+    rows lie behind each other in a task, the head first, so a task holds one head and one Arrow batch.
+    """
 
     def compare(batches):
+        head, head_id = None, None
         for batch in batches:
             keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
+            for i, (a, leads) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                units = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+                if leads:
+                    head, head_id = units.copy(), a
+                    continue
+                assert a == head_id
+                small, large = (head, units) if len(head) <= len(units) else (units, head)
                 if len(small) < threshold * len(large):
                     continue
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 common = int((large[at] == small).sum())
-                if common >= threshold * (len(x) + len(y) - common):
+                if common >= threshold * (len(head) + len(units) - common):
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    sets = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct())
-    left = small_join(sets.select(F.col("id").alias("a"), F.col("units").alias("units_a")), pairs, "a")
-    right = sets.select(F.col("id").alias("b"), F.col("units").alias("units_b"))
-    met = left.join(right.hint("merge"), "b").select("a", "b", "units_a", "units_b")
-    return stage(met.mapInArrow(compare, "a long, b long"), "links")
+    sets = shingle_sets(texts, pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))))
+    heads = stage(pairs.groupBy("a").agg(F.ceil(F.count("*") / SECTION_MEMBERS).alias("sections")), "near_heads")
+    dealt = small_join(pairs, heads, "a").select("a", "b", F.pmod(F.xxhash64("b"), "sections").alias("section"))
+    members = dealt.join(sets.select(F.col("id").alias("b"), "units").hint("merge"), "b").select("a", "b", "section", F.lit(False).alias("leads"), "units")
+    leading = heads.join(sets.select(F.col("id").alias("a"), "units").hint("merge"), "a")
+    leading = leading.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sections") - 1)).alias("section"), F.lit(True).alias("leads"), "units")
+    rows = members.unionByName(leading).repartition(shuffle_partitions(pairs.sparkSession), "a", "section").sortWithinPartitions("a", "section", F.desc("leads"))
+    return stage(rows.select("a", "b", "leads", "units").mapInArrow(compare, "a long, b long"), "links")
 
 
 def _spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -208,16 +225,19 @@ def joining_links(sets: list[np.ndarray], labels: np.ndarray, n_rows: int, inner
     return out
 
 
+def _labelled(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Adds the components of id and head (mine, its); what is in no component is one of its own."""
+    if parts is None:
+        return buckets.withColumn("mine", F.col("id")).withColumn("its", F.col("head"))
+    rows = small_join(buckets, parts.withColumnRenamed("label", "_mine"), "id", "left")
+    rows = small_join(rows, parts.select(F.col("id").alias("head"), F.col("label").alias("_its")), "head", "left")
+    return rows.withColumn("mine", F.coalesce("_mine", "id")).withColumn("its", F.coalesce("_its", "head"))
+
+
 def rest_links(buckets: DataFrame, parts: DataFrame | None, texts: DataFrame, threshold: float) -> DataFrame | None:
     """The links that join components inside the buckets (bucket, id, n, head); the head has met all members before."""
-    members = buckets.filter("n > 2").select("bucket", "id", "head").distinct()
-    if parts is not None:
-        members = small_join(members, parts.withColumnRenamed("label", "mine"), "id", "left")
-        members = small_join(members, parts.select(F.col("id").alias("head"), F.col("label").alias("its")), "head", "left")
-        members = members.select("bucket", "id", F.coalesce("mine", "id").alias("label"), (F.coalesce("mine", "id") != F.coalesce("its", "head")).alias("rest"))
-    else:
-        members = members.select("bucket", "id", F.col("id").alias("label"), (F.col("id") != F.col("head")).alias("rest"))
-    members = stage(members, "members")
+    members = _labelled(buckets.filter("n > 2"), parts).select("bucket", "id", F.col("mine").alias("label"), (F.col("mine") != F.col("its")).alias("rest"))
+    members = stage(members.distinct(), "members")
     # A single member outside the head's component has met a head without others; otherwise there is something to compare.
     still = members.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count_if(~F.col("rest")).alias("n_main")).filter("n_rest > 1 OR n_rest = 1 AND n_main > 1")
     members = stage(members.join(still.hint("merge"), "bucket").select("bucket", "id", "label", "rest"), "open_members")
@@ -254,13 +274,23 @@ def rest_links(buckets: DataFrame, parts: DataFrame | None, texts: DataFrame, th
 def near_links(texts: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Verified links between different texts (id, text), and the components they make; both None without links."""
     buckets = stage(band_hashes(texts, bands, rows), "bands")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n > 1")
+    # Staged, so that the join's own exchange can be split where a bucket is hot.
+    shared = stage(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n > 1"), "shared_buckets")
     buckets = stage(buckets.join(shared.hint("merge"), "bucket"), "buckets")
-    pairs = stage(buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    if pairs.isEmpty():
+    met = buckets.filter("id <> head")
+    first = stage(met.groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "first_pairs")
+    if first.isEmpty():
         return None, None
-    links = verified(pairs, texts, threshold)
+    links = verified(first, texts, threshold)
     parts = None if links.isEmpty() else connected_components(links)
+    # The other heads of documents that are not in their component; each pair is met once, and no more pairs are left.
+    apart = _labelled(met, parts).filter("mine <> its").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    apart = stage(apart.join(first.hint("merge"), ["a", "b"], "left_anti"), "other_pairs")
+    if not apart.isEmpty():
+        more = verified(apart, texts, threshold)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = connected_components(links)
     more = rest_links(buckets, parts, texts, threshold)
     if more is not None and not more.isEmpty():
         links = links.unionByName(more)
@@ -272,7 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, class_id (smallest id of its group) and kept."""
     content = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     keyed = stage(content.select("id", F.unhex(F.sha2("text", 256)).alias("digest")), "near_digests")
-    firsts = keyed.groupBy("digest").agg(F.min("id").alias("first"))
+    # Staged, so that the join's own exchange can be split where many texts are equal.
+    firsts = stage(keyed.groupBy("digest").agg(F.min("id").alias("first")), "near_firsts")
     # Every document points to the first one of its text; only firsts are hashed and compared.
     copies = stage(keyed.join(firsts.hint("merge"), "digest").select("id", "first"), "near_copies")
     others = copies.filter("id <> first").select("id").distinct()
@@ -292,15 +323,16 @@ def drop_near_duplicates(
 
     Texts are told apart by their digest and not by an id, so that repeated rows, repeated ids and null ids count too.
     """
-    digests = docs.withColumn("_digest", F.sha2(text_or_empty(text_col), 256))
-    per_id = digests.groupBy("_digest", F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
+    # The row travels as one value, so its columns may have any names.
+    digests = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.sha2(text_or_empty(text_col), 256).alias("_digest"))
+    per_id = digests.groupBy("_digest", "_id").agg(F.count("*").alias("_n"))
     best = per_id.groupBy("_digest").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_n")).alias("best"))
     firsts = best.select(F.col("_digest").alias("_kept_digest"), F.col("best._id").alias("_kept_id"), F.col("best._n").alias("_rows"))
     # Numbers of texts in the order of their ids.
     numbers = firsts.orderBy(F.col("_kept_id").asc_nulls_last(), "_kept_digest").withColumn("_number", F.monotonically_increasing_id())
-    single = stage(one_row_each(digests, stage(numbers, "near_numbers"), id_col).select(*docs.columns, "_number"), "near_single")
-    _, parts = near_links(single.select(F.col("_number").alias("id"), text_or_empty(text_col).alias("text")), threshold, bands, rows)
+    single = stage(one_row_each(digests, stage(numbers, "near_numbers"), "_id").select("_row", "_number"), "near_single")
+    _, parts = near_links(single.select(F.col("_number").alias("id"), F.coalesce(F.col("_row").getField(text_col).cast("string"), F.lit("")).alias("text")), threshold, bands, rows)
     if parts is None:
-        return single.drop("_number")
+        return single.select("_row.*")
     gone = stage(parts.filter("id <> label").select(F.col("id").alias("_number")), "near_gone")
-    return small_join(single, gone, "_number", "left_anti").select(*docs.columns)
+    return small_join(single, gone, "_number", "left_anti").select("_row.*")
