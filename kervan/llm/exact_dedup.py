@@ -69,8 +69,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each text, with all its columns; of rows that repeat id and text one stays."""
+    """One row of each text, with all its columns: that of the id that stays, null ids only where no row of the text has
+    an id; of rows that repeat id and text one stays, which one is not defined."""
     kept = exact_groups(docs.select(id_col, text_col), id_col, text_col, **options).filter("kept")
     kept = kept.groupBy(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_digest")).agg(F.count("*").alias("_rows"))
-    rows = docs.withColumn("_digest", F.sha2(lowered_text(text_col), 256))
-    return one_row_each(rows, stage(kept, "kept_texts"), id_col).select(*docs.columns)
+    # The row travels as one value, so its columns may have any names.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.sha2(lowered_text(text_col), 256).alias("_digest"))
+    return one_row_each(rows, stage(kept, "kept_texts"), "_id").select("_row.*")

@@ -4,11 +4,12 @@ Targets: a total budget is shared over the sources by weight; a source whose sha
 size is clamped there and the excess goes to the others by weight, until no share is above its cap. The state of the
 fill is one number, the level `budget / weight`, so each round is one aggregate over the table of sources.
 
-Rows: a source's target is met by whole repetitions of every document and one more repetition of a seeded selection:
+Plan: one row per source, joined to the documents by source (broadcast up to a counted bound), so the mix itself moves
+no text. Rows: a source's target is met by whole repetitions of every document and one more repetition of a seeded selection:
 documents below a hash threshold are repeated whole, the document at the threshold in part. The threshold is found by
 refining histograms of the hash per source, so no task gathers the documents of a source.
 
-Defined results: null text has size 0; null source is a source of its own, ranked last; sources without words get
+Defined results: null text has size 0; rows without an id share one hash; repeated ids are planned row by row; null source is a source of its own, ranked last; sources without words get
 target 0; rows with equal hash (repeated rows) share the part that is left over in proportion; an empty table gives an
 empty result; a source's taken words differ from its target by less than one word per row at its threshold.
 """
@@ -101,23 +102,15 @@ def _extra(rows: DataFrame, wanted: DataFrame, bits: int = 12, rounds: int = 5)
     return state.select("_source_rank", F.col("_prefix").alias("_edge"), (F.col("_need") / F.col("_at_edge")).alias("_part"))
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[int, ...] = (3, 1, 2),
-    total_ratio: float = 1.5,
-    max_epochs: float = 2.0,
-    seed: int = 17,
-) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken, whole (full copies) and partial (words of one more)."""
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
+    """id, source, size and hash of each row, and further columns. The hash has 60 bits of md5, on which SQL engines agree."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    # A 60-bit hash of the id: md5, so that SQL engines agree on it.
-    hashed: Column = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 15), 16, 10).cast("long")
-    rows = docs.select(F.col(id_col), F.col(source_col).cast("string").alias("_source"), size.alias("size"), hashed.alias("_hash"))
-    rows = stage(rows, "mix_sizes")
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 15), 16, 10).cast("long")
+    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("size"), hashed.alias("_hash"), *more)
+
 
+def source_plan(rows: DataFrame, weights: tuple[int, ...], total_ratio: float, max_epochs: float) -> DataFrame:
+    """One staged row per source of the measured rows: source_size, target, whole repetitions and the edge of one more."""
     sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
     sources = ranked(sizes, "_source", "_source_rank")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_source_rank") % len(weights) + 1).cast("int"))
@@ -126,16 +119,36 @@ def mix(
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(max_epochs)))).otherwise(0)
     plan = sources.withColumn("_whole", epochs.cast("long"))
     plan = plan.withColumn("_need", F.round(F.col("target") - F.col("_whole") * F.col("source_size")))
-    known = plan.select("_source", "_source_rank", "source_size", "target", "_whole")
-    rows = stage(small_join(rows, known, "_source").drop("_source"), "mix_rows")
-    edges = _extra(rows.select("_source_rank", "_hash", "size"), plan.filter("_need > 0"))
+    numbered = small_join(rows.select("_source", "_hash", "size"), plan.select("_source", "_source_rank"), "_source").drop("_source")
+    edges = _extra(stage(numbered, "mix_rows"), plan.filter("_need > 0"))
+    known = plan.select("_source", "_source_rank", F.col("source_size").cast("long").alias("source_size"), "target", "_whole")
+    return stage(small_join(known, edges, "_source_rank", "left"), "mix_plan")
+
+
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds to measured rows their source's plan and _fraction and _more, the part of one more repetition."""
     part = F.when(F.col("_edge").isNull(), 0.0).when(F.col("_hash") < F.col("_edge"), 1.0).when(F.col("_hash") == F.col("_edge"), F.col("_part")).otherwise(0.0)
     extra = F.when(F.col("_fraction") >= 1.0, F.col("size")).otherwise(F.round(F.col("_fraction") * F.col("size")).cast("long"))
-    out = small_join(rows, edges, "_source_rank", "left").withColumn("_fraction", part).withColumn("_more", extra)
+    return small_join(rows, plan, "_source").withColumn("_fraction", part).withColumn("_more", extra)
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2),
+    total_ratio: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: int = 17,
+) -> DataFrame:
+    """One row per input row: id, size, source_size, target, taken, whole (full copies) and partial (words of one more)."""
+    rows = stage(_measured(docs, id_col, text_col, source_col, seed), "mix_sizes")
+    out = _planned(rows, source_plan(rows, weights, total_ratio, max_epochs))
     return out.select(
-        id_col,
+        F.col("_id").alias(id_col),
         "size",
-        F.col("source_size").cast("long").alias("source_size"),
+        "source_size",
         "target",
         (F.col("_whole") * F.col("size") + F.col("_more")).cast("long").alias("taken"),
         (F.col("_whole") + F.when((F.col("_more") == F.col("size")) & (F.col("_fraction") > 0), 1).otherwise(0)).cast("long").alias("whole"),
@@ -143,15 +156,32 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each document's row once for every whole repetition, and cut after `partial` words for the last."""
-    plan = mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **options)
-    plan = plan.groupBy(id_col).agg(F.max("whole").alias("_whole"), F.max("partial").alias("_partial"))
-    joined = docs.join(plan.withColumnRenamed(id_col, "_plan_id").hint("merge"), docs[id_col].eqNullSafe(F.col("_plan_id")))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_whole").cast("int")), F.when(F.col("_partial") > 0, F.array(F.col("_partial"))).otherwise(F.array().cast("array<bigint>")))
-    text = F.when(F.col("_words") < 0, F.col(text_col)).otherwise(_first_words(F.col(text_col), F.col("_words")))
-    spread = joined.withColumn("_words", F.explode(copies))
-    return spread.select(*[text.alias(c) if c == text_col else spread[c] for c in docs.columns])
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2),
+    total_ratio: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: int = 17,
+) -> DataFrame:
+    """The mix itself: each row of docs once for every whole repetition, and cut after its last words for the rest.
+
+    Each row is planned by itself, whatever other rows share its id; the row travels as one value, so its columns may
+    have any names.
+    """
+    rows = stage(_measured(docs, id_col, text_col, source_col, seed), "mix_sizes")
+    plan = source_plan(rows, weights, total_ratio, max_epochs)
+    carried = _measured(docs, id_col, text_col, source_col, seed, F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    planned = _planned(carried, plan)
+    whole = F.col("_whole") + F.when((F.col("_more") == F.col("size")) & (F.col("_fraction") > 0), 1).otherwise(0)
+    cut = F.when(F.col("_more") < F.col("size"), F.col("_more")).otherwise(0)
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<bigint>")))
+    spread = planned.select("_row", F.explode(copies).alias("_words"))
+    own = F.col("_row").getField(text_col)
+    text = F.when(F.col("_words") < 0, own).otherwise(_first_words(own, F.col("_words")))
+    return spread.select(*[(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _first_words(text: Column, words: Column) -> Column:

@@ -430,3 +430,30 @@ def test_quality(spark):
     check_scores(quality_scores(docs, labels).collect(), {i: 1 - y for i, y in truth.items()}, 404)
     assert quality_scores(docs.limit(0), labels).count() == 0
     assert len({r["score"] for r in quality_scores(docs, labels.limit(0)).collect()}) == 1
+
+
+def test_stages_judge_rows_and_keep_any_columns(spark):
+    """Repeated rows, one id with several texts, null ids and columns named like internal ones."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "A b c", "x"), (1, "a b c", "x"), (1, "a b c", "x"), (2, "other words here", "x"), (2, long, "y"), (3, long + " end", "y"), (None, "A B C", None), (None, "alone", None), (5, None, "x"), (6, "", "x")]
+    docs = spark.createDataFrame([(*r, i, 7, 8, 9, 10) for i, r in enumerate(rows)], "doc_id long, text string, source string, _words int, _whole int, _few_key int, _digest int, _id int")
+    exact = drop_copies(docs)
+    assert exact.columns == docs.columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, lowered(r["text"] or "")) for r in exact.collect())
+    assert got == sorted([(False, 1, "a b c"), (False, 2, "other words here"), (False, 2, long), (False, 3, long + " end"), (True, 0, "alone"), (False, 6, "")])
+    near = drop_near_duplicates(docs)
+    assert near.columns == docs.columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "").lower()) for r in near.collect())
+    assert got == sorted([(False, 1, "a b c"), (False, 2, "other words here"), (False, 2, long), (True, 0, "alone"), (False, 5, "")])
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    plan = {}
+    for r in mix(docs).collect():
+        plan.setdefault((r["doc_id"], r["size"]), []).append(r["taken"])
+    words = lambda t: len((t or "").split())
+    given = {}
+    for r in mixed.collect():
+        given[r["_words"]] = given.get(r["_words"], 0) + words(r["text"])
+    for i, (key, text, _) in enumerate(rows):
+        assert given.get(i, 0) in plan[key, words(text)], i
+    assert sum(given.values()) == sum(sum(v) for v in plan.values())
