@@ -29,7 +29,7 @@ from .tokenizing import release_pieces, sub_batches, worker_pieces
 BLOCK_SCHEMA = "run int, seq long, doc_ids binary, doc_nulls binary, lengths binary, control binary, data binary"
 BLOCK_COLUMNS = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
 #: Text that is tokenised at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
 #: For each control byte: the lengths of its four codes.
 CODE_LENGTHS = np.stack([(np.arange(256) >> (2 * i) & 3) + 1 for i in range(4)], axis=1).astype(np.uint8)
 

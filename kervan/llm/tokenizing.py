@@ -22,6 +22,7 @@ from .common import flat_bytes
 CACHE_PIECES = 400_000
 CACHE_WORDS = 500_000
 ENCODE_AT_ONCE = 8_192
+LINE_WORDS = 512
 # Two white-space characters together, at an end, or any that is not a space or a line feed.
 _IRREGULAR = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}][ \n]|[ \n][\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}]|^[ \n]|[ \n]$|\x00"
 # What the two JSON tokenizers' own split patterns separate: a piece is taken apart along these before it is looked up.
@@ -103,6 +104,10 @@ class Pieces:
             if added:
                 self.special = regex.compile("|".join(regex.escape(t.content) for t in added), regex.IGNORECASE)
             self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
+            # Byte-level tokens are written with one character a byte.
+            self.token_bytes = np.zeros(self.model.get_vocab_size(), np.int64)
+            for token, i in self.model.get_vocab().items():
+                self.token_bytes[i] = len(token)
         self.dtype = np.uint16 if self.width == 2 else np.uint32
         self.known: dict[str, int] = {}
         self.words: dict[str, int] = {}
@@ -123,6 +128,25 @@ class Pieces:
             flats.append(np.fromiter(chain.from_iterable(found), self.dtype, int(sizes[-1].sum())))
         return np.concatenate(flats), np.concatenate(sizes)
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _encode. Where the space stays with the word, words that begin with one are given to the library many in a
+        line, and the ids are dealt to them by the bytes that each id stands for."""
+        lead = [w for w in words if w[0] == " " and len(w) > 1] if self.spaced else []
+        if len(lead) < LINE_WORDS:
+            return self._encode(words)
+        lines = ["".join(lead[at : at + LINE_WORDS]) for at in range(0, len(lead), LINE_WORDS)]
+        flat, sizes = self._encode(lines)
+        ends = np.cumsum(pc.binary_length(pa.array(lead, pa.string())).to_numpy(zero_copy_only=False), dtype=np.int64)
+        upto = np.cumsum(self.token_bytes[flat])
+        last = np.searchsorted(upto, ends)
+        if not len(upto) or upto[-1] != ends[-1] or (upto[last] != ends).any():
+            return self._encode(words)  # not a byte-level vocabulary
+        others = [w for w in words if w[0] != " " or len(w) == 1]
+        more, more_sizes = self._encode(others)
+        lead.extend(others)
+        words[:] = lead
+        return np.concatenate([flat, more]), np.concatenate([np.diff(last + 1, prepend=0), more_sizes])
+
     def _forget(self) -> None:
         """Keeps the cache bounded: all pieces go, and where words are many, those that were looked up only once."""
         if len(self.words) > CACHE_WORDS:
@@ -155,7 +179,8 @@ class Pieces:
         words = self.words
         fresh = [w for w in set(parts).difference(words) if w != "\0"]
         if fresh:
-            words.update(zip(fresh, self.rows.append(*self._encode(fresh))))
+            found = self._encode_words(fresh)  # may put fresh in another order
+            words.update(zip(fresh, self.rows.append(*found)))
         words["\0"] = -1
         rows = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts))
         del words["\0"]
@@ -176,13 +201,16 @@ class Pieces:
             odd[:] = True
         flat, counts = self._cut(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
         coded = flat.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        distinct = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        pieces = pc.binary_join(distinct, pa.scalar("\0", pa.large_string()))[0].as_py().split("\0") if len(coded.dictionary) else []
         if len(self.known) > CACHE_PIECES:
             self._forget()
-        missing = [p for p in pieces if p not in self.known]
+        found = list(map(self.known.get, pieces))
+        missing = [p for p, row in zip(pieces, found) if row is None]
         if missing:
             self._learn(missing)
-        rows = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            found = [self.known[p] if row is None else row for p, row in zip(pieces, found)]
+        rows = np.array(found, np.int64)
         out, ends = self.rows.take(rows[coded.indices.to_numpy(zero_copy_only=False)])
         offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         if odd.any():
