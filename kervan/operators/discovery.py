@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -12,8 +12,10 @@ from ..functions import urls as U
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an explicit order (never the arrival order)."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    # A minimum is combined before the shuffle; the order columns must be of types that compare, nulls first.
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])).alias("_first")
+    return df.groupBy(*keys).agg(first).select(*[F.col(c) if c in keys else F.col("_first").getField(c).alias(c) for c in df.columns])
 
 
 def dedupe_urls(df: DataFrame, url_col: str = "url", seq_col: str = "seq") -> DataFrame:
@@ -99,7 +101,9 @@ def select_listings(listings: DataFrame, wanted: list[str] | None, name_col: str
     if not wanted:
         return listings
     hit = F.lower(F.col(name_col)).isin([w.lower() for w in wanted])
-    marked = listings.withColumn("_hit", hit).withColumn("_any", F.max(F.coalesce("_hit", F.lit(False))).over(Window.partitionBy(F.lit(1))))
+    marked = listings.withColumn("_hit", hit)
+    # One row: whether any listing has a wanted name.
+    marked = marked.crossJoin(F.broadcast(marked.agg(F.coalesce(F.max("_hit"), F.lit(False)).alias("_any"))))
     keep = F.col("_hit") | F.col("is_archive")
     if fallback_all:
         keep = keep | ~F.col("_any")

@@ -324,17 +324,41 @@ def card_labels(nodes: DataFrame, label_class: str, levels: int = 3) -> DataFram
     return found.groupBy("page_id", "pre").agg(F.min_by("label", "level").alias("label"))
 
 
-def campaign_rows(pages: DataFrame, titles: DataFrame, texts: DataFrame, conditions: DataFrame, periods: DataFrame, composed: bool = True) -> DataFrame:
-    """One campaign row per page with a title: slug, title, description, conditions, window and participation."""
+def table_texts(nodes: DataFrame) -> DataFrame:
+    """page_id, tables: the page's tables as text, a line per row with its cells between bars, a blank line between tables."""
+    cells = table_cells(nodes).groupBy("page_id", "table_no", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "text"))).alias("c"))
+    line = F.array_join(F.filter(F.transform("c", lambda x: x["text"]), lambda t: t != ""), " | ")
+    tables = cells.select("page_id", "table_no", "row_no", line.alias("line")).groupBy("page_id", "table_no").agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("r"))
+    tables = tables.select("page_id", "table_no", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("t"))
+    whole = tables.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("table_no", "t"))).alias("t"))
+    return whole.select("page_id", F.array_join(F.transform("t", lambda x: x["t"]), "\n\n").alias("tables"))
+
+
+def with_tables(sections: DataFrame, tables: DataFrame) -> DataFrame:
+    """Conditions with the page's tables appended; a page may have only one of the two."""
+    both = sections.join(tables.hint("merge"), "page_id", "full_outer")
+    return both.select("page_id", F.concat_ws("\n\n", "section", "tables").alias("section"))
+
+
+def campaign_rows(
+    pages: DataFrame, titles: DataFrame, texts: DataFrame, conditions: DataFrame, periods: DataFrame, exclusions: DataFrame, url_segment: Column, composed: bool = True
+) -> DataFrame:
+    """One campaign row per page: slug, title, description, conditions, exclusions, window, participation, segment and
+    archive flag (the page's hint first, then the URL). Pages without a title, or of another doc_type, give no row.
+
+    pages: page_id, url, segment_hint, archive_hint, doc_type; hints and doc_type may be null.
+    """
     from ..functions import urls as U
     from ..functions.text import first_line
 
     joined = (
-        pages.select("page_id", "url")
-        .join(titles.hint("merge"), "page_id")
+        pages.filter(F.coalesce(F.col("doc_type") == "campaign", F.lit(True)))
+        .withColumn("segment", F.coalesce("segment_hint", url_segment))
+        .join(titles.filter("title IS NOT NULL AND title <> ''").hint("merge"), "page_id")
         .join(texts.hint("merge"), "page_id", "left")
         .join(conditions.withColumnRenamed("section", "conditions_text").hint("merge"), "page_id", "left")
         .join(periods.withColumnRenamed("section", "period_text").hint("merge"), "page_id", "left")
+        .join(exclusions.withColumnRenamed("section", "exclusions").hint("merge"), "page_id", "left")
     )
     windows = [E.validity_window(E.prepare(F.col(c), composed)) for c in ("period_text", "conditions_text", "clean_text")]
     chosen = E.first_known_window(*windows)
@@ -345,6 +369,8 @@ def campaign_rows(pages: DataFrame, titles: DataFrame, texts: DataFrame, conditi
         "title",
         first_line(F.col("clean_text"), skip=F.array("title")).alias("description"),
         "conditions_text",
+        "exclusions",
+        "segment",
         chosen["start"].alias("start_date"),
         chosen["end"].alias("end_date"),
         chosen["precision"].alias("date_precision"),
@@ -353,7 +379,7 @@ def campaign_rows(pages: DataFrame, titles: DataFrame, texts: DataFrame, conditi
         part["sms_number"].alias("sms_number"),
         part["coupon_code"].alias("coupon_code"),
         F.col("url").alias("source_url"),
-        F.lower(F.col("url")).contains("isarchived=true").alias("is_archived"),
+        (F.coalesce("archive_hint", F.lit(False)) | F.lower(F.col("url")).contains("isarchived=true")).alias("is_archived"),
     )
 
 

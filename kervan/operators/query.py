@@ -97,9 +97,32 @@ def campaign_detail(campaigns: DataFrame, banks: DataFrame, documents: DataFrame
 
 
 def banks_with_counts(banks: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Every bank with its number of campaigns, zeros kept: counted first, so the join moves one row per bank."""
+    """Every bank with its number of campaigns by name, zeros kept: counted first, so the join moves one row per bank."""
     counts = campaigns.groupBy("bank_code").agg(F.count("*").alias("n"))
-    return banks.join(counts, "bank_code", "left").withColumn("campaign_count", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
+    joined = banks.join(counts, "bank_code", "left").withColumn("campaign_count", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
+    return joined.orderBy("bank_name", "bank_code")
+
+
+def bank_by_code(banks: DataFrame, campaigns: DataFrame, code: str) -> DataFrame:
+    """One bank with its number of campaigns; raises if there is none. The code reaches both scans as a filter."""
+    one = banks.filter(F.col("bank_code") == code)
+    if one.isEmpty():
+        raise LookupError(f"no bank {code}")
+    return banks_with_counts(one, campaigns.filter(F.col("bank_code") == code))
+
+
+def by_bank(banks: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Banks by number of campaigns, then by name, zeros kept."""
+    return banks_with_counts(banks, campaigns).orderBy(F.desc("campaign_count"), "bank_name", "bank_code")
+
+
+def banks_with_data(banks: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """One row: the number of banks that have a campaign."""
+    return banks.join(campaigns.select("bank_code").distinct(), "bank_code", "left_semi").agg(F.count("*").alias("banks_with_data"))
+
+
+def row_count(campaigns: DataFrame) -> DataFrame:
+    return campaigns.agg(F.count("*").alias("campaigns"))
 
 
 def totals(campaigns: DataFrame) -> DataFrame:
@@ -127,14 +150,16 @@ def run_summary(log: DataFrame) -> DataFrame:
     """Per bank: counters, the first 50 messages and the run's status. log: bank_code, seq, action (discovered, fetched,
     new, updated, error), message."""
     n = lambda a: F.count_if(F.col("action") == a)
-    ranked = log.withColumn("_e", F.row_number().over(Window.partitionBy("bank_code", (F.col("action") == "error")).orderBy("seq")))
-    grouped = ranked.groupBy("bank_code").agg(
+    grouped = log.groupBy("bank_code").agg(
         n("discovered").alias("urls_discovered"),
         n("fetched").alias("urls_fetched"),
         n("new").alias("campaigns_new"),
         n("updated").alias("campaigns_updated"),
         n("error").alias("errors_count"),
-        F.array_sort(F.collect_list(F.when((F.col("action") == "error") & (F.col("_e") <= 50), F.struct("seq", "message")))).alias("_m"),
     )
+    # Only errors are ranked, and a task passes on no more than 50 of a bank.
+    first = log.filter("action = 'error'").withColumn("_e", F.row_number().over(Window.partitionBy("bank_code").orderBy("seq"))).filter("_e <= 50")
+    messages = first.groupBy("bank_code").agg(F.array_sort(F.collect_list(F.struct("seq", "message"))).alias("_m"))
+    grouped = grouped.join(messages, "bank_code", "left")
     status = F.when((F.col("urls_fetched") == 0) & (F.col("errors_count") > 0), "failed").when(F.col("errors_count") > 0, "partial").otherwise("success")
-    return grouped.withColumn("status", status).withColumn("error_log", F.array_join(F.transform("_m", lambda s: s["message"]), "\n")).drop("_m")
+    return grouped.withColumn("status", status).withColumn("error_log", F.coalesce(F.array_join(F.transform("_m", lambda s: s["message"]), "\n"), F.lit(""))).drop("_m")

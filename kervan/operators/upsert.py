@@ -79,9 +79,9 @@ def retryable(status: Column) -> Column:
 
 def limit_discovered(urls: DataFrame, limit: int, seq_col: str = "seq") -> DataFrame:
     """The first `limit` URLs of each bank, with the count before the limit on every row."""
-    w = Window.partitionBy("bank_code")
-    ranked = urls.withColumn("urls_discovered", F.count("*").over(w)).withColumn("_at", F.row_number().over(w.orderBy(seq_col)))
-    return ranked.filter(F.col("_at") <= limit).drop("_at")
+    counts = urls.groupBy("bank_code").agg(F.count("*").alias("urls_discovered"))
+    first = urls.withColumn("_at", F.row_number().over(Window.partitionBy("bank_code").orderBy(seq_col))).filter(F.col("_at") <= limit).drop("_at")
+    return first.join(counts, "bank_code").select(*urls.columns, "urls_discovered")
 
 
 def seed_dimension(stored: DataFrame, seed: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as E
 from ..functions.text import ascii_fold
+from ..operators import discovery as D
 from ..operators import forms as M
 from ..operators import pages as P
-from ..session import ship_package, table
+from ..session import ship_package, staged, table
 from .roles import tr_date, tr_day_month, tr_number
 
 
@@ -157,6 +158,11 @@ def evidence_rows(s, d):
 # ---- markup ----
 
 
+def _nodes(pages):
+    """The pages' nodes, parsed once and written: each query reads them several times."""
+    return staged(P.page_nodes(pages), "nodes")
+
+
 def _supplier_pages(s, d):
     """A page per supplier with a rate table of two terms, a table without rates, and a caption by nation."""
     sup = table(s, d, "supplier")
@@ -174,18 +180,18 @@ def _supplier_pages(s, d):
 
 def rate_table_rows(s, d):
     ship_package(s)
-    r = P.rate_tables(P.page_nodes(_supplier_pages(s, d)), composed=True)
+    r = P.rate_tables(_nodes(_supplier_pages(s, d)), composed=True)
     return r.select("page_id", "row_no", "term_months", _double(F.col("profit_rate_pct")).alias("profit_rate"), _double(F.col("allocation_fee_pct")).alias("fee"), "variant_key", "evidence_text")
 
 
 def condition_sections(s, d):
     ship_package(s)
-    return P.section_texts(P.page_nodes(_supplier_pages(s, d)), ("kampanya koşul", "koşullar"), composed=True)
+    return P.section_texts(_nodes(_supplier_pages(s, d)), ("kampanya koşul", "koşullar"), composed=True)
 
 
 def table_cells(s, d):
     ship_package(s)
-    return P.table_cells(P.page_nodes(_supplier_pages(s, d))).groupBy("page_id", "table_no").agg(F.count("*").alias("cells"), F.max("row_no").alias("rows"))
+    return P.table_cells(_nodes(_supplier_pages(s, d))).groupBy("page_id", "table_no").agg(F.count("*").alias("cells"), F.max("row_no").alias("rows"))
 
 
 def _part_pages(s, d):
@@ -201,23 +207,23 @@ def _part_pages(s, d):
 
 def form_options(s, d):
     ship_package(s)
-    return M.form_options(P.page_nodes(_part_pages(s, d))).select("page_id", "name", "value", "label")
+    return M.form_options(_nodes(_part_pages(s, d))).select("page_id", "name", "value", "label")
 
 
 def form_controls(s, d):
     ship_package(s)
-    n = P.page_nodes(_part_pages(s, d))
+    n = _nodes(_part_pages(s, d))
     return M.control_labels(n, M.form_controls(n)).select("page_id", "name", "kind", "label", "pre")
 
 
 def form_variants(s, d):
     ship_package(s)
-    return M.variant_candidates(M.form_options(P.page_nodes(_part_pages(s, d))), composed=True).select("page_id", "label", "variant_key", "dimension")
+    return M.variant_candidates(M.form_options(_nodes(_part_pages(s, d))), composed=True).select("page_id", "label", "variant_key", "dimension")
 
 
 def form_sampling(s, d):
     ship_package(s)
-    n = P.page_nodes(_part_pages(s, d))
+    n = _nodes(_part_pages(s, d))
     c = M.combination_counts(n).join(M.allowed_terms(n).hint("merge"), "page_id", "left").join(M.amount_bounds(n).hint("merge"), "page_id", "left")
     return c.select("page_id", F.col("combinations").cast("long").alias("combinations"), M.sampling_decision(F.col("combinations"), F.lit("api")).alias("decision"), F.array_join("allowed_terms", ",").alias("terms"), _double(F.col("amount_min")).alias("amount_min"), _double(F.col("amount_max")).alias("amount_max"))
 
@@ -240,15 +246,38 @@ def card_labels(s, d):
     c = table(s, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
     card = F.concat(F.lit('<div class="card"><span class="etiket">'), "c_mktsegment", F.lit('</span><div><p><a href="/kampanya/'), F.lower("c_mktsegment"), F.lit('">git</a></p></div></div>'))
     pages = c.groupBy(F.col("c_nationkey").cast("long").alias("page_id")).agg(F.concat(F.lit("<html><body><main>"), F.array_join(F.array_sort(F.collect_list(card)), ""), F.lit("</main></body></html>")).alias("html"))
-    return P.card_labels(P.page_nodes(pages), "etiket").groupBy("label").agg(F.count("*").alias("n"))
+    return P.card_labels(_nodes(pages), "etiket").groupBy("label").agg(F.count("*").alias("n"))
+
+
+def campaign_page_rows(s, d):
+    """Campaign rows of a page per supplier: sections, tables as conditions, segment and archive flag by hint or URL. Pages
+    of suppliers of nation 3 are documents of another kind, those of nation 4 have no title."""
+    ship_package(s)
+    sup = table(s, d, "supplier")
+    n, key = F.col("s_nationkey"), F.col("s_suppkey").cast("string")
+    title = F.when(n == 4, "").otherwise(F.concat(F.lit("<h1>Teklif "), key, F.lit("</h1>")))
+    html = F.concat(
+        F.lit("<html><body><main>"), title, F.lit("<p>Teklif metni "), key, F.lit(" burada.</p><h2>Kampanya Koşulları</h2><p>Koşul "), key, F.lit("</p><h2>Kapsam Dışı</h2><p>Hariç "), key,
+        F.lit("</p><h2>Tablo</h2><table><tr><td>A</td><td>"), key, F.lit("</td></tr><tr><td>B</td><td>2</td></tr></table></main></body></html>"),
+    )
+    url = F.concat(F.lit("https://bank.example/"), F.when(n % 2 == 0, "bireysel").otherwise("ticari"), F.lit("/teklif-"), key, F.when(n == 5, "?isArchived=true").otherwise(""))
+    pages = sup.select(F.col("s_suppkey").alias("page_id"), url.alias("url"), html.alias("html"), F.when(n == 6, "tarim").alias("segment_hint"), F.when(n == 7, True).alias("archive_hint"), F.when(n == 3, "product").otherwise("campaign").alias("doc_type"))
+    nodes = _nodes(pages.select("page_id", "html"))
+    conditions = P.with_tables(P.section_texts(nodes, ("koşul",), composed=True), P.table_texts(nodes))
+    empty = s.createDataFrame([], "page_id long, section string")
+    rows = P.campaign_rows(
+        pages, P.page_titles(nodes), P.clean_text(P.main_content(P.without_noise(nodes))), conditions, empty, P.section_texts(nodes, ("kapsam dışı",), composed=True), D.path_label(F.col("url"), 1, {"bireysel": "personal", "ticari": "business"})
+    )
+    return rows.select("page_id", "external_slug", "title", "conditions_text", "exclusions", "segment", "is_archived")
 
 
-FUNCTIONS = [validity_windows, first_dates, window_sources, money_roundtrip, money_ranges, decimal_forms, rate_ranges, term_months, instalment_counts, reward_tiers, limits_record, vehicle_ages, derived_rates, participation, evidence_rows, rate_table_rows, condition_sections, table_cells, form_options, form_controls, form_variants, form_sampling, legal_notices, calculator_mechanisms, card_labels]
+FUNCTIONS = [validity_windows, first_dates, window_sources, money_roundtrip, money_ranges, decimal_forms, rate_ranges, term_months, instalment_counts, reward_tiers, limits_record, vehicle_ages, derived_rates, participation, evidence_rows, rate_table_rows, condition_sections, table_cells, form_options, form_controls, form_variants, form_sampling, legal_notices, calculator_mechanisms, card_labels, campaign_page_rows]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _S, _E = "CAST(o_orderdate AS DATE)", "CAST(o_orderdate AS DATE) + 20"
 _P = "o_orderpriority"
 ORACLE = {
+    "campaign_page_rows": "SELECT s_suppkey AS page_id, 'teklif-' || s_suppkey AS external_slug, 'Teklif ' || s_suppkey AS title, 'Koşul ' || s_suppkey || chr(10) || chr(10) || 'A | ' || s_suppkey || chr(10) || 'B | 2' AS conditions_text, 'Hariç ' || s_suppkey AS exclusions, CASE WHEN s_nationkey = 6 THEN 'tarim' WHEN s_nationkey % 2 = 0 THEN 'personal' ELSE 'business' END AS segment, s_nationkey IN (5, 7) AS is_archived FROM supplier WHERE s_nationkey NOT IN (3, 4)",
     "validity_windows": f"SELECT o_orderkey, CASE WHEN {_P} IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN {_S} END AS start_date, CASE WHEN {_P} <> '4-NOT SPECIFIED' THEN {_E} END AS end_date, CASE {_P} WHEN '3-MEDIUM' THEN 'inferred' WHEN '4-NOT SPECIFIED' THEN 'unknown' WHEN '5-LOW' THEN 'partial' ELSE 'exact' END AS date_precision FROM orders",
     "first_dates": f"SELECT o_orderkey, {_S} AS found FROM orders",
     "window_sources": f"SELECT o_orderkey, {_E} AS end_date, CASE {_P} WHEN '3-MEDIUM' THEN 'inferred' WHEN '4-NOT SPECIFIED' THEN 'partial' WHEN '5-LOW' THEN 'partial' ELSE 'exact' END AS date_precision FROM orders",

@@ -91,6 +91,40 @@ def banks_with_counts(s, d):
     return Q.banks_with_counts(banks(s, d), campaigns(s, d).filter("amount > 480000 AND status = 'upcoming'"))
 
 
+def campaigns_by_bank(s, d):
+    """Only banks with an even last digit are asked for campaigns, so that others stay with 0."""
+    return Q.by_bank(banks(s, d), campaigns(s, d).filter("bank_code RLIKE '[02468]$'"))
+
+
+def banks_with_data(s, d):
+    return Q.banks_with_data(banks(s, d), campaigns(s, d).filter("bank_code RLIKE '[02468]$'"))
+
+
+def bank_lookup(s, d):
+    return Q.bank_by_code(banks(s, d), campaigns(s, d), "NATION_7")
+
+
+def campaign_count(s, d):
+    return Q.row_count(campaigns(s, d))
+
+
+def campaign_lookup(s, d):
+    """The detail of one campaign with its source document and labels."""
+    documents = table(s, d, "orders").select(F.concat(F.lit("https://bank.example/kampanya/"), F.col("o_orderkey").cast("string")).alias("source_url"), F.col("o_orderstatus").alias("doc_status"))
+    one = Q.campaign_detail(campaigns(s, d), banks(s, d), documents, labels(s, d), 7)
+    return one.select("campaign_id", "bank_name", "title", "doc_status", F.array_join(F.transform("labels", lambda x: F.concat_ws("=", x["axis"], x["value"])), ",").alias("labels"))
+
+
+def inventory_upsert(s, d):
+    """Calculator pages by (bank, page): stored are those of suppliers up to nation 14, found those from nation 10 on."""
+    t0 = F.lit("2026-01-01").cast("timestamp")
+    sup = table(s, d, "supplier").select(F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("bank_code"), F.col("s_name").alias("page_url"), F.round(F.col("s_acctbal")).cast("long").alias("controls"), "s_nationkey")
+    stored = sup.filter("s_nationkey <= 14").select("bank_code", "page_url", "controls", t0.alias("first_seen_at"), t0.alias("last_seen_at"))
+    found = sup.filter("s_nationkey >= 10").select("bank_code", "page_url", (F.col("controls") + 1).alias("controls"), F.lit(1).alias("seq"))
+    done = U.upsert(stored, found, F.lit("2026-02-01").cast("timestamp"), ["bank_code", "page_url"], kept=("first_seen_at",))
+    return done.select("bank_code", "page_url", "controls", F.to_date("first_seen_at").alias("first_seen"), F.to_date("last_seen_at").alias("last_seen"), "action")
+
+
 def campaigns_by_category(s, d):
     return Q.by_category(campaigns(s, d))
 
@@ -233,7 +267,7 @@ def totals_reconcile(s, d):
     return C.totals_reconcile(campaigns(s, d), Q.STATUSES)
 
 
-FUNCTIONS = [labels_long, label_summary, label_gate, invalid_labels, display_labels, default_labels, rate_provenance, category_backfill, status_by_asof, stats_totals, banks_with_counts, campaigns_by_category, list_filtered_page, list_total, axis_exists, text_search, date_bounds, nested_labels, campaign_details, bar_shares, last_run, run_summary, fetch_outcomes, discovery_limit, upsert_second_run, upsert_counters, unseen_campaigns, forced_expired, seed_dimension, prune_dimension, dq_violations, dq_duplicate_keys, dq_orphans, totals_reconcile]
+FUNCTIONS = [campaigns_by_bank, banks_with_data, bank_lookup, campaign_count, campaign_lookup, inventory_upsert, labels_long, label_summary, label_gate, invalid_labels, display_labels, default_labels, rate_provenance, category_backfill, status_by_asof, stats_totals, banks_with_counts, campaigns_by_category, list_filtered_page, list_total, axis_exists, text_search, date_bounds, nested_labels, campaign_details, bar_shares, last_run, run_summary, fetch_outcomes, discovery_limit, upsert_second_run, upsert_counters, unseen_campaigns, forced_expired, seed_dimension, prune_dimension, dq_violations, dq_duplicate_keys, dq_orphans, totals_reconcile]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _HIT = "regexp_matches(h, '(^|[^a-z0-9]){}')"
@@ -249,6 +283,12 @@ _RUN = """, stored AS (SELECT * FROM campaigns WHERE NOT starts_with(title, '1-U
 run AS (SELECT *, 1 AS n, end_date + 1 AS new_end FROM campaigns WHERE NOT starts_with(title, '5-LOW') AND NOT starts_with(title, '1-URGENT') UNION ALL SELECT *, 2, end_date + 2 FROM campaigns WHERE starts_with(title, '1-URGENT'))"""
 
 ORACLE = {
+    "campaigns_by_bank": f"{_C} SELECT n_name AS bank_code, 'Bank of ' || n_name AS bank_name, count(campaign_id) AS campaign_count FROM nation LEFT JOIN (SELECT * FROM campaigns WHERE regexp_matches(bank_code, '[02468]$')) c ON n_name = bank_code GROUP BY 1, 2",
+    "banks_with_data": f"{_C} SELECT count(DISTINCT bank_code) AS banks_with_data FROM campaigns WHERE regexp_matches(bank_code, '[02468]$')",
+    "bank_lookup": f"{_C} SELECT 'NATION_7' AS bank_code, 'Bank of NATION_7' AS bank_name, count(*) AS campaign_count FROM campaigns WHERE bank_code = 'NATION_7'",
+    "campaign_count": f"{_C} SELECT count(*) AS campaigns FROM campaigns",
+    "campaign_lookup": f"{_C}, {SQL_LABELS} SELECT campaign_id, 'Bank of ' || bank_code AS bank_name, title, (SELECT o_orderstatus FROM orders WHERE o_orderkey = campaign_id) AS doc_status, coalesce((SELECT string_agg(axis || '=' || value, ',' ORDER BY axis, value) FROM labels_ l WHERE l.campaign_id = c.campaign_id), '') AS labels FROM campaigns c WHERE campaign_id = 7",
+    "inventory_upsert": "SELECT 'NATION_' || s_nationkey AS bank_code, s_name AS page_url, CAST(round(s_acctbal) AS BIGINT) + CASE WHEN s_nationkey >= 10 THEN 1 ELSE 0 END AS controls, CASE WHEN s_nationkey <= 14 THEN DATE '2026-01-01' ELSE DATE '2026-02-01' END AS first_seen, CASE WHEN s_nationkey >= 10 THEN DATE '2026-02-01' ELSE DATE '2026-01-01' END AS last_seen, CASE WHEN s_nationkey < 10 THEN 'keep' WHEN s_nationkey <= 14 THEN 'update' ELSE 'insert' END AS action FROM supplier",
     "labels_long": f"WITH {_LAB} SELECT * FROM lab",
     "label_summary": f"WITH {_LAB} SELECT 'axis' AS section, axis AS key, count(*) AS n FROM lab GROUP BY axis UNION ALL SELECT 'source', source, count(*) FROM lab GROUP BY source UNION ALL SELECT 'value', axis || '/' || value, count(*) FROM lab GROUP BY axis, value",
     "label_gate": f"WITH {_LAB}, g AS (SELECT campaign_id, max(CASE WHEN axis = 'sector' AND value = 'genel' AND confidence <= 0.3 THEN 1 ELSE 0 END) AS f, max(CASE WHEN axis = 'product_type' THEN 1 ELSE 0 END) AS p FROM lab GROUP BY 1) SELECT count(*) AS campaigns, CAST(sum(f) AS BIGINT) AS fallback_only, CAST(sum(1 - p) AS BIGINT) AS missing_product_type, round(sum(f) / count(*), 6) AS ratio, sum(f) / count(*) < 0.4 AS passed FROM g",

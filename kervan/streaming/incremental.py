@@ -11,28 +11,42 @@ from pyspark.sql import functions as F
 from ..operators.upsert import upsert
 
 
-def current_version(spark: SparkSession, root: str, empty: DataFrame) -> DataFrame:
-    """The newest complete version of a table kept as root/version=<n>."""
+def complete_versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the versions whose marker was written, which happens after their rows."""
     try:
-        versions = spark.read.option("basePath", root).parquet(root)
+        return sorted(r["version"] for r in spark.read.schema("version long").parquet(f"{root}/complete").distinct().collect())
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+        if "PATH_NOT_FOUND" not in str(error):
             raise
-        return empty
-    newest = versions.agg(F.max("version").alias("v")).first()["v"]
-    return versions.filter(F.col("version") == newest).drop("version")
+        return []
+
+
+def current_version(spark: SparkSession, root: str, empty: DataFrame, below: int | None = None) -> DataFrame:
+    """The newest complete version of a table kept under root, of those below a number if one is given."""
+    found = [v for v in complete_versions(spark, root) if below is None or v < below]
+    return spark.read.schema(empty.schema).parquet(_rows(root, found[-1])) if found else empty
+
+
+def _rows(root: str, version: int) -> str:
+    return f"{root}/rows/version={version:012d}"
+
+
+def merge_batch(batch: DataFrame, batch_id: int, root: str, to_batch: Callable[[DataFrame], DataFrame], empty: DataFrame, keys: list[str]) -> None:
+    """Merges a batch into a new version. A batch that is retried starts from the version before its own again: what a
+    failed attempt left is replaced, and a complete version stays as it is."""
+    spark = batch.sparkSession
+    if batch_id in complete_versions(spark, root):
+        return
+    merged = upsert(current_version(spark, root, empty, below=batch_id), to_batch(batch), F.current_timestamp(), keys)
+    merged.select(empty.columns).write.mode("overwrite").parquet(_rows(root, batch_id))
+    spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).write.mode("append").parquet(f"{root}/complete")
 
 
 def run_incremental(pages: DataFrame, root: str, checkpoint: str, to_batch: Callable[[DataFrame], DataFrame], empty: DataFrame, keys: list[str]):
     """pages: a streaming DataFrame. Each micro-batch is turned into upsert rows (with seq) by `to_batch` and merged into
-    a new version; a batch that is retried writes its own version again, so the result is exactly once."""
+    a new version of the table, exactly once."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = current_version(spark, root, empty)
-        if "version" in stored.columns:
-            stored = stored.drop("version")
-        merged = upsert(stored, to_batch(batch), F.current_timestamp(), keys).drop("action", "update_count")
-        merged.write.mode("overwrite").parquet(f"{root}/version={batch_id:012d}")
+        merge_batch(batch, batch_id, root, to_batch, empty, keys)
 
     return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -198,6 +198,36 @@ def test_incremental(spark, tmp_path):
     assert {(r["external_slug"], r["title"]) for r in now.collect()} == {("s", "2"), ("t", "3")}
 
 
+def test_incremental_retry(spark, tmp_path):
+    """A retried batch starts from the version before its own, whatever a failed attempt left."""
+    root, keys = f"{tmp_path}/table", ["bank_code", "external_slug"]
+    empty = spark.createDataFrame([], "bank_code string, external_slug string, title string, first_seen_at timestamp, last_seen_at timestamp")
+    batch = lambda *rows: spark.createDataFrame(rows, "bank_code string, external_slug string, title string, seq int")
+    merge = lambda b, n: incremental.merge_batch(b, n, root, lambda x: x, empty, keys)
+    merge(batch(("b", "s", "1", 1)), 0)
+    # An attempt at batch 1 that ended before its marker: its rows are no version.
+    batch(("x", "x", "x", 1)).drop("seq").write.parquet(f"{root}/rows/version={1:012d}")
+    assert [r["title"] for r in incremental.current_version(spark, root, empty).collect()] == ["1"]
+    merge(batch(("b", "t", "2", 1)), 1)
+    first = {r["external_slug"]: tuple(r) for r in incremental.current_version(spark, root, empty).collect()}
+    assert set(first) == {"s", "t"}
+    merge(batch(("b", "t", "2", 1)), 1)
+    assert {r["external_slug"]: tuple(r) for r in incremental.current_version(spark, root, empty).collect()} == first
+
+
+def test_lookups(spark):
+    from kervan.operators import query as Q
+
+    banks = spark.createDataFrame([("b", "Zeta"), ("a", "Alpha")], "bank_code string, bank_name string")
+    campaigns = spark.createDataFrame([(1, "b"), (2, "b")], "campaign_id int, bank_code string")
+    assert [tuple(r) for r in Q.banks_with_counts(banks, campaigns).collect()] == [("a", "Alpha", 0), ("b", "Zeta", 2)]
+    assert [tuple(r) for r in Q.by_bank(banks, campaigns).collect()] == [("b", "Zeta", 2), ("a", "Alpha", 0)]
+    assert Q.banks_with_data(banks, campaigns).first()[0] == 1
+    assert [tuple(r) for r in Q.bank_by_code(banks, campaigns, "a").collect()] == [("a", "Alpha", 0)]
+    with pytest.raises(LookupError):
+        Q.bank_by_code(banks, campaigns, "c")
+
+
 def test_first_paragraph(spark):
     df = spark.createDataFrame([("Başlık\nkısa\n\n" + "a" * 50 + "\n" + "b" * 40, "Başlık"), ("kısa", "x")], "t string, h string")
     got = [r["p"] for r in df.select(T.first_paragraph(F.col("t"), F.col("h")).alias("p")).collect()]
