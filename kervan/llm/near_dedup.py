@@ -239,7 +239,7 @@ def rest_links(buckets: DataFrame, parts: DataFrame | None, texts: DataFrame, th
     members = _labelled(buckets.filter("n > 2"), parts).select("bucket", "id", F.col("mine").alias("label"), (F.col("mine") != F.col("its")).alias("rest"))
     members = stage(members.distinct(), "members")
     # A single member outside the head's component has met a head without others; otherwise there is something to compare.
-    still = members.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count_if(~F.col("rest")).alias("n_main")).filter("n_rest > 1 OR n_rest = 1 AND n_main > 1")
+    still = stage(members.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count_if(~F.col("rest")).alias("n_main")).filter("n_rest > 1 OR n_rest = 1 AND n_main > 1"), "open_buckets")
     members = stage(members.join(still.hint("merge"), "bucket").select("bucket", "id", "label", "rest"), "open_members")
     if members.isEmpty():
         return None
@@ -258,7 +258,7 @@ def rest_links(buckets: DataFrame, parts: DataFrame | None, texts: DataFrame, th
     # the head's component as (i, q + m), and itself within (i, q).
     weight = members.join(sets.select("id", (F.octet_length("units") / 8).alias("weight")).hint("merge"), "id")
     blocks = weight.groupBy("bucket").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, F.col("weight"))) / BLOCK_UNITS)).alias(n) for n, side in (("q", F.col("rest")), ("p", ~F.col("rest")))))
-    blocked = members.join(blocks.hint("merge"), "bucket").withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("q")).otherwise(F.col("p"))))
+    blocked = members.join(stage(blocks, "bucket_blocks").hint("merge"), "bucket").withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("q")).otherwise(F.col("p"))))
     meets = F.expr(
         """if(rest,
             concat(
