@@ -251,17 +251,18 @@ def card_labels(s, d):
 
 def campaign_page_rows(s, d):
     """Campaign rows of a page per supplier: sections, tables as conditions, segment and archive flag by hint or URL. Pages
-    of suppliers of nation 3 are documents of another kind, those of nation 4 have no title."""
+    of suppliers of nation 3 are documents of another kind, those of nation 4 have no
+    heading, so no title."""
     ship_package(s)
     sup = table(s, d, "supplier")
     n, key = F.col("s_nationkey"), F.col("s_suppkey").cast("string")
-    title = F.when(n == 4, "").otherwise(F.concat(F.lit("<h1>Teklif "), key, F.lit("</h1>")))
+    title = F.concat(F.lit("<h1>Teklif "), key, F.lit("</h1>"))
     html = F.concat(
         F.lit("<html><body><main>"), title, F.lit("<p>Teklif metni "), key, F.lit(" burada.</p><h2>Kampanya Koşulları</h2><p>Koşul "), key, F.lit("</p><h2>Kapsam Dışı</h2><p>Hariç "), key,
         F.lit("</p><h2>Tablo</h2><table><tr><td>A</td><td>"), key, F.lit("</td></tr><tr><td>B</td><td>2</td></tr></table></main></body></html>"),
     )
     url = F.concat(F.lit("https://bank.example/"), F.when(n % 2 == 0, "bireysel").otherwise("ticari"), F.lit("/teklif-"), key, F.when(n == 5, "?isArchived=true").otherwise(""))
-    pages = sup.select(F.col("s_suppkey").alias("page_id"), url.alias("url"), html.alias("html"), F.when(n == 6, "tarim").alias("segment_hint"), F.when(n == 7, True).alias("archive_hint"), F.when(n == 3, "product").otherwise("campaign").alias("doc_type"))
+    pages = sup.select(F.col("s_suppkey").alias("page_id"), url.alias("url"), F.when(n == 4, "<html><body><main><p>Başlıksız sayfa.</p></main></body></html>").otherwise(html).alias("html"), F.when(n == 6, "tarim").alias("segment_hint"), F.when(n == 7, True).alias("archive_hint"), F.when(n == 3, "product").otherwise("campaign").alias("doc_type"))
     nodes = _nodes(pages.select("page_id", "html"))
     conditions = P.with_tables(P.section_texts(nodes, ("koşul",), composed=True), P.table_texts(nodes))
     empty = s.createDataFrame([], "page_id long, section string")
