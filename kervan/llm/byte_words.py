@@ -65,8 +65,11 @@ class Words:
 
     def hashes(self, prefix: int | None = None) -> np.ndarray:
         """64-bit hash of each word, or of its first `prefix` bytes (the whole word where it is shorter)."""
-        end = self.end if prefix is None else np.minimum(self.end, self.start + prefix)
-        return mix64((self._sums[end] - self._sums[self.start]) * self._down[self.start] + (end - self.start).astype(np.uint64))
+        return self.of(self.start, self.end if prefix is None else np.minimum(self.end, self.start + prefix))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hash of the bytes from each start to its end."""
+        return mix64((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(np.uint64))
 
     def document(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))

@@ -10,6 +10,11 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
+def held_out(id_col: str, modulus: int, held: int) -> Column:
+    """Whether the id is in the held-out fold; a null id is in none."""
+    return F.coalesce(fold(id_col, modulus) == held, F.lit(False))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held: int, bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, label) of at most `bound` labelled documents outside the held-out fold: the smallest hashes of the id.
 
@@ -19,6 +24,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus:
     chosen = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(id_col, modulus) != held))
     chosen = chosen.groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("sample"), "_label_id"), "_label_id").limit(bound)
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_label_id")).select(
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "label", F.col("_label_id").cast("long").alias("id")
-    )
+    texts = docs.select(F.col(id_col).alias("_doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("_doc_id") == F.col("_label_id")).select("text", "label", F.col("_label_id").cast("long").alias("id"))

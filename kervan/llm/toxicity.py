@@ -12,8 +12,9 @@ x = lambda * S - ln(K * n) has P(a clean text of n tokens reaches it) = 1 - exp(
 summed significant segments give its score through a logistic curve fitted on the sample.
 
 Defined results: null, empty and wordless texts have no segment and score the curve's value without one; without
-labelled documents of both classes every score is the smoothed share of class 1; repeated rows score alike; an empty
-table gives an empty result.
+labelled documents of both classes every score is the smoothed share of class 1; repeated rows score alike; rows with a
+null id are scored, are not held out and never learned from; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .byte_words import ALNUM, LOWER, Words
 from .common import flat_bytes, stage
-from .labelled import fold, labelled_sample
+from .labelled import held_out, labelled_sample
 from .tokenizing import sub_batches
 
 SAMPLE_DOCS = 20_000
@@ -237,5 +238,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     """One row per input row: doc_id, held_out, score, predicted and the best passage."""
     scored = score(docs, fit(docs, labels, label_col, modulus, held, bound))
     return scored.select(
-        "doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"), "n_segments", "first_token", "last_token"
+        "doc_id", held_out("doc_id", modulus, held).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"), "n_segments", "first_token", "last_token"
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from kervan.llm.exact_dedup import drop_copies, exact_groups
 from kervan.llm.mixing import mix, mixed_documents
 from kervan.llm.near_dedup import drop_near_duplicates, near_duplicates
 from kervan.llm.packing import best_fit_decreasing, lower_bound, pack_documents
-from kervan.llm.quality import quality_scores
+from kervan.llm.quality import BUCKET_BITS, margins, quality_scores
 from kervan.llm.repeated_spans import repeated_spans
 from kervan.llm.token_counts import token_counts
 from kervan.llm.token_output import decode_ranks, encode_ranks, token_id_roundtrip
@@ -387,6 +388,21 @@ def test_segments_against_all_pairs():
             assert b <= a
 
 
+def test_all_maximal_segments():
+    import numpy as np
+
+    def segments(s, at=0):
+        """The best segment, then those of what lies before and behind it."""
+        sums = [(sum(s[i:j]), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)]
+        score, i, j = max(sums, default=(0, 0, 0))
+        return [] if score <= 0 else [*segments(s[:i], at), (at + i, at + j, pytest.approx(score)), *segments(s[j:], at + j)]
+
+    rng = random.Random(6)
+    for _ in range(300):
+        s = [rng.uniform(-2, 1.5) for _ in range(rng.randint(0, 30))]
+        assert [tuple(f) for f in maximal_segments(np.array(s, float))] == segments(s)
+
+
 def labelled(spark, bad, n=400):
     rng = random.Random(11)
     rows, labels = [], []
@@ -432,6 +448,54 @@ def test_quality(spark):
     assert len({r["score"] for r in quality_scores(docs, labels.limit(0)).collect()}) == 1
 
 
+def quality_features(text):
+    """The feature ids of a text, one by one."""
+    mask = (1 << 64) - 1
+    base = 0x9E3779B97F4A7C15
+
+    def mix(h):
+        for _ in range(2):
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & mask
+        return h ^ h >> 32
+
+    def hashed(b):
+        return mix(sum((x + 1) * pow(base, i, 1 << 64) for i, x in enumerate(b)) + len(b) & mask)
+
+    words = re.findall(r"[^ \t\n\x0b\x0c\r]+", text)
+    found = [hashed(w.encode()) for w in words]
+    for a, b in zip(words, words[1:]):
+        found.append(0x5EED << 48 if a == b else mix(hashed(a.encode()) * 3 + hashed(b.encode()) & mask))
+    for w in words:
+        for n in (3, 5):
+            for i in range(len(w) - n + 1):
+                place = (i == 0) + 2 * (i + n == len(w)) + 4 * n
+                found.append(mix(hashed(w[i : i + n].encode()) + place * base & mask))
+    return [h >> 64 - BUCKET_BITS for h in found]
+
+
+def test_quality_features_one_by_one(rows):
+    import numpy as np
+
+    texts = ["", *(t for _, t, *_ in rows if t and len(t) < 3000), "", "şçğ ışığı x", " ", "\u2003wide\u00a0space 日本語日本語 ab", ""]
+    table = np.random.default_rng(3).normal(size=1 << BUCKET_BITS).astype(np.float32)
+    raw = [t.encode() for t in texts]
+    got = margins(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), table)
+    for text, value in zip(texts, got):
+        ids = quality_features(text)
+        assert value == pytest.approx(float(np.mean(table[ids].astype(float))) if ids else 0.0, abs=1e-9)
+
+
+def test_scores_of_any_rows(spark, docs, rows):
+    """Null ids, empty and long texts, repeated rows and further columns, one of them named like an internal one."""
+    given = docs.unionByName(spark.createDataFrame([(None, "lone", "en", "a", 0, 9)], DOCS)).withColumnRenamed("n_chars", "_text")
+    labels = spark.createDataFrame([(r[0], i % 2, i % 2) for i, r in enumerate(rows)], "doc_id long, toxic int, quality int")
+    for scores in (toxicity_scores(given, labels), quality_scores(given, labels)):
+        got = scores.collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted([(False, r[0]) for r in rows] + [(True, 0)])
+        assert all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in got)
+        assert not next(r for r in got if r["doc_id"] is None)["held_out"]
+
+
 def test_stages_judge_rows_and_keep_any_columns(spark):
     """Repeated rows, one id with several texts, null ids and columns named like internal ones."""
     long = " ".join(f"w{i}" for i in range(40))
