@@ -13,8 +13,9 @@ smallest hash among its `seed`-byte strings, so two equal windows elect the same
 Each ranking is a shuffle by hash range: tasks send sorted runs of fingerprints packed as binary, a range's task sorts
 and merges them with numpy and answers to the chunks that asked. Documents are dealt to chunks of bounded size by a
 hash of their id and written once as a table bucketed by chunk, so the texts are shuffled once. A chunk sends each
-rank once, with its smallest id, so copies of a passage never meet in one task beyond one row per chunk. Ranks are
-compared by 64-bit fingerprints, from step 2 on together with that of the seed.
+rank once, with its smallest id, so copies of a passage never meet in one task beyond one row per chunk. Ranks of steps 2
+and 3, on which bytes are removed, are compared by 128 bits (two hashes with different symbol values); those of step 1
+only choose candidates and have 64. There is a hash range for every RANGE_BYTES of text at the most.
 
 Defined results: null and empty texts, and texts shorter than the span, lose nothing; rows with a null id neither lose
 bytes nor count as a source; rows that share an id are judged against smaller ids only, so they keep what they share
@@ -36,20 +37,23 @@ from .common import flat_bytes, shuffle_partitions, stage, text_or_empty
 
 SEED = 24
 CHUNK_BYTES = 2 << 20
+RANGE_BYTES = 64 << 20
 FLUSH = 2_000_000
 ASK_SCHEMA = "bucket int, chunk int, data binary"
 ANSWER_SCHEMA = "chunk int, kind int, data binary"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 RESOLVED, BY_WINDOW, SMALLER = 0, 1, 2
+#: Symbol values of the second hash.
+CHECK = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Prefixes:
     """Hashes of all strings of one text, from prefix sums."""
 
-    def __init__(self, raw: np.ndarray):
+    def __init__(self, raw: np.ndarray, symbols: np.ndarray | None = None):
         n = len(raw)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=self.sums[1:])
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1) if symbols is None else symbols[raw]) * _power("up", n), out=self.sums[1:])
         self.down = _power("down", n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -78,11 +82,11 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _runs(values: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal values in a sorted array."""
-    if not len(values):
+def _runs(*values: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values in sorted arrays, of which all must be equal."""
+    if not len(values[0]):
         return np.zeros(0, np.int64)
-    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return np.flatnonzero(np.concatenate([[True], np.any([v[1:] != v[:-1] for v in values], axis=0)]))
 
 
 def _member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -134,22 +138,25 @@ def _gather(table: pa.Table, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
 class _Chunk:
     """The documents of a chunk: elected seeds and contexts of all of them."""
 
-    def __init__(self, table: pa.Table, span: int, seed: int):
+    def __init__(self, table: pa.Table, span: int, seed: int, check: bool = False):
         table = table.combine_chunks()
         self.ids = table.column("doc_id").to_pylist()
         column = table.column("text")
         self.raw, offsets = flat_bytes(column) if table.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
         self.offsets = offsets.tolist()
-        hs, xs, los, his, docs, rows = [], [], [], [], [], []
+        hs, xs, ys, los, his, docs, rows = [], [], [], [], [], [], []
         for i, key in enumerate(self.ids):
             if key is None or self.offsets[i + 1] - self.offsets[i] < span:
                 continue
             p = Prefixes(self.text(i))
             h, lo, hi = elected(p, span, seed)
             hs.append(h), los.append(lo), his.append(hi), xs.append(p.of(lo, hi + span))
+            if check:
+                ys.append(Prefixes(self.text(i), CHECK).of(lo, hi + span))
             docs.append(np.full(len(h), key, np.int64)), rows.append(np.full(len(h), i, np.int64))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.h, self.x, self.lo, self.hi, self.doc, self.row = join(hs, np.uint64), join(xs, np.uint64), join(los, np.int64), join(his, np.int64), join(docs, np.int64), join(rows, np.int64)
+        self.y = join(ys, np.uint64)
         # The context's rank is compared together with the seed's.
         self.x = mix64(self.x ^ (self.h << np.uint64(1)))
 
@@ -167,11 +174,14 @@ class _Chunk:
         n = self.hi[at] - self.lo[at] + 1
         which = np.repeat(at, n)
         start = self.lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        fp = np.zeros(len(which), np.uint64)
         row = self.row[which]
+        return self.window_hashes(row, start, span), self.doc[which], row, start
+
+    def window_hashes(self, row: np.ndarray, start: np.ndarray, span: int, symbols: np.ndarray | None = None) -> np.ndarray:
+        found = np.zeros(len(row), np.uint64)
         for s, e in zip(_runs(row).tolist(), np.append(_runs(row)[1:], len(row)).tolist()):
-            fp[s:e] = Prefixes(self.text(int(row[s]))).of(start[s:e], start[s:e] + span)
-        return fp, self.doc[which], row, start
+            found[s:e] = Prefixes(self.text(int(row[s])), symbols).of(start[s:e], start[s:e] + span)
+        return found
 
 
 def _sets(table: pa.Table) -> dict[int, np.ndarray]:
@@ -188,7 +198,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = shuffle_partitions(spark)
     total = content.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     chunks = max(parts, -(-total // CHUNK_BYTES))
-    buckets = 2 * parts
+    buckets = max(2 * parts, -(-total // RANGE_BYTES))
     content = content.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
 
     name = f"kervan_spans_{uuid.uuid4().hex}"
@@ -234,20 +244,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _answers(owner[keep], np.zeros(int(keep.sum()), np.int64), h[keep])
 
     def ask_contexts(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        c = _Chunk(left, span, seed)
+        c = _Chunk(left, span, seed, check=True)
         keep = _member(c.h, _sets(right)[0])
-        h, x, doc = c.h[keep], c.x[keep], c.doc[keep]
+        h, x, y, doc = c.h[keep], c.x[keep], c.y[keep], c.doc[keep]
         order = np.lexsort((doc, x))
-        h, x, doc = h[order], x[order], doc[order]
-        at = _runs(x)
-        return _asks(key[0].as_py(), h[at], [h[at], x[at], doc[at].view(np.uint64)], buckets)
+        order = order[_runs(x[order])]
+        return _asks(key[0].as_py(), h[order], [h[order], x[order], y[order], doc[order].view(np.uint64)], buckets)
 
     def rank_contexts(table: pa.Table) -> pa.Table:
-        chunk, (h, x, doc) = _gather(table, 3)
+        chunk, (h, x, y, doc) = _gather(table, 4)
         doc = doc.view(np.int64)
-        order = np.lexsort((doc, x, h))
-        chunk, h, x, doc = chunk[order], h[order], x[order], doc[order]
-        at = _runs(x)
+        order = np.lexsort((doc, y, x, h))
+        chunk, h, x, y, doc = chunk[order], h[order], x[order], y[order], doc[order]
+        at = _runs(x, y)
         size = np.diff(np.append(at, len(x)))
         least = np.repeat(doc[at], size)
         # How many contexts a seed has.
@@ -259,16 +268,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask_windows(key, left: pa.Table, right: pa.Table) -> pa.Table:
         c, sets = _Chunk(left, span, seed), _sets(right)
-        fp, doc, _, _ = c.windows(sets[BY_WINDOW], c.smallest(), span)
-        fp, doc = _least(fp, doc)
-        return _asks(key[0].as_py(), fp, [fp, doc.view(np.uint64)], buckets)
+        fp, doc, row, start = c.windows(sets[BY_WINDOW], c.smallest(), span)
+        y = c.window_hashes(row, start, span, CHECK)
+        order = np.lexsort((doc, fp))
+        order = order[_runs(fp[order])]
+        return _asks(key[0].as_py(), fp[order], [fp[order], y[order], doc[order].view(np.uint64)], buckets)
 
     def rank_windows(table: pa.Table) -> pa.Table:
-        chunk, (fp, doc) = _gather(table, 2)
+        chunk, (fp, y, doc) = _gather(table, 3)
         doc = doc.view(np.int64)
-        order = np.lexsort((doc, fp))
-        chunk, fp, doc = chunk[order], fp[order], doc[order]
-        at = _runs(fp)
+        order = np.lexsort((doc, y, fp))
+        chunk, fp, y, doc = chunk[order], fp[order], y[order], doc[order]
+        at = _runs(fp, y)
         least = np.repeat(doc[at], np.diff(np.append(at, len(fp))))
         keep = doc > least
         return _answers(chunk[keep], np.full(int(keep.sum()), SMALLER), fp[keep])
@@ -305,13 +316,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def with_texts(answers: DataFrame):
         return texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
 
-    seeds = content.select("doc_id", "text", "chunk").mapInArrow(ask_seeds, "bucket int, data binary")
-    shared = stage(seeds.groupBy("bucket").applyInArrow(rank_seeds, ANSWER_SCHEMA), "span_seeds")
-    contexts = with_texts(shared).applyInArrow(ask_contexts, ASK_SCHEMA)
-    ranked = stage(contexts.groupBy("bucket").applyInArrow(rank_contexts, ANSWER_SCHEMA), "span_contexts")
-    windows = with_texts(ranked).applyInArrow(ask_windows, ASK_SCHEMA)
-    smaller = stage(windows.groupBy("bucket").applyInArrow(rank_windows, ANSWER_SCHEMA), "span_windows")
-    return with_texts(ranked.unionByName(smaller)).applyInArrow(remove, RESULT_SCHEMA)
+    try:
+        seeds = content.select("doc_id", "text", "chunk").mapInArrow(ask_seeds, "bucket int, data binary")
+        shared = stage(seeds.groupBy("bucket").applyInArrow(rank_seeds, ANSWER_SCHEMA), "span_seeds")
+        contexts = with_texts(shared).applyInArrow(ask_contexts, ASK_SCHEMA)
+        ranked = stage(contexts.groupBy("bucket").applyInArrow(rank_contexts, ANSWER_SCHEMA), "span_contexts")
+        windows = with_texts(ranked).applyInArrow(ask_windows, ASK_SCHEMA)
+        smaller = stage(windows.groupBy("bucket").applyInArrow(rank_windows, ANSWER_SCHEMA), "span_windows")
+        return stage(with_texts(ranked.unionByName(smaller)).applyInArrow(remove, RESULT_SCHEMA), "span_results")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def _seed_asks(seeds: list[np.ndarray], owners: list[np.ndarray], buckets: int):

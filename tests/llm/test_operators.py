@@ -205,6 +205,16 @@ def test_repeated_spans(docs, rows, empty):
     assert repeated_spans(empty).count() == 0
 
 
+def test_repeated_spans_null_and_shared_ids(spark, monkeypatch):
+    """Null ids lose nothing and are no source; rows that share an id keep what they share. Many hash ranges."""
+    monkeypatch.setattr("kervan.llm.repeated_spans.RANGE_BYTES", 50)
+    text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(300))
+    rows = [(None, text[:200]), (4, text), (4, text[:150]), (9, text[100:]), (None, text[:90])]
+    got = sorted(((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(0, 90, 0), (0, 200, 0), (4, 150, 0), (4, 300, 0), (9, 200, 200)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("kervan_spans")]
+
+
 def test_repeated_spans_random(spark):
     rng = random.Random(1)
     pool = "".join(rng.choice("ab é") for _ in range(400))
