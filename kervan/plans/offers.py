@@ -87,17 +87,15 @@ def stats_totals(s, d):
 
 
 def banks_with_counts(s, d):
-    """Banks and their campaigns above 480 000: banks without any stay with 0."""
-    return Q.banks_with_counts(banks(s, d), campaigns(s, d).filter("amount > 480000 AND status = 'upcoming'"))
+    return Q.banks_with_counts(banks(s, d), campaigns(s, d))
 
 
 def campaigns_by_bank(s, d):
-    """Only banks with an even last digit are asked for campaigns, so that others stay with 0."""
-    return Q.by_bank(banks(s, d), campaigns(s, d).filter("bank_code RLIKE '[02468]$'"))
+    return Q.by_bank(banks(s, d), campaigns(s, d))
 
 
 def banks_with_data(s, d):
-    return Q.banks_with_data(banks(s, d), campaigns(s, d).filter("bank_code RLIKE '[02468]$'"))
+    return Q.banks_with_data(banks(s, d), campaigns(s, d))
 
 
 def bank_lookup(s, d):
@@ -283,8 +281,8 @@ _RUN = """, stored AS (SELECT * FROM campaigns WHERE NOT starts_with(title, '1-U
 run AS (SELECT *, 1 AS n, end_date + 1 AS new_end FROM campaigns WHERE NOT starts_with(title, '5-LOW') AND NOT starts_with(title, '1-URGENT') UNION ALL SELECT *, 2, end_date + 2 FROM campaigns WHERE starts_with(title, '1-URGENT'))"""
 
 ORACLE = {
-    "campaigns_by_bank": f"{_C} SELECT n_name AS bank_code, 'Bank of ' || n_name AS bank_name, count(campaign_id) AS campaign_count FROM nation LEFT JOIN (SELECT * FROM campaigns WHERE regexp_matches(bank_code, '[02468]$')) c ON n_name = bank_code GROUP BY 1, 2",
-    "banks_with_data": f"{_C} SELECT count(DISTINCT bank_code) AS banks_with_data FROM campaigns WHERE regexp_matches(bank_code, '[02468]$')",
+    "campaigns_by_bank": f"{_C} SELECT n_name AS bank_code, 'Bank of ' || n_name AS bank_name, count(campaign_id) AS campaign_count FROM nation LEFT JOIN campaigns ON n_name = bank_code GROUP BY 1, 2",
+    "banks_with_data": f"{_C} SELECT count(DISTINCT bank_code) AS banks_with_data FROM campaigns",
     "bank_lookup": f"{_C} SELECT 'NATION_7' AS bank_code, 'Bank of NATION_7' AS bank_name, count(*) AS campaign_count FROM campaigns WHERE bank_code = 'NATION_7'",
     "campaign_count": f"{_C} SELECT count(*) AS campaigns FROM campaigns",
     "campaign_lookup": f"{_C}, {SQL_LABELS} SELECT campaign_id, 'Bank of ' || bank_code AS bank_name, title, (SELECT o_orderstatus FROM orders WHERE o_orderkey = campaign_id) AS doc_status, coalesce((SELECT string_agg(axis || '=' || value, ',' ORDER BY axis, value) FROM labels_ l WHERE l.campaign_id = c.campaign_id), '') AS labels FROM campaigns c WHERE campaign_id = 7",
@@ -298,7 +296,7 @@ ORACLE = {
     "category_backfill": "WITH f AS (SELECT l_orderkey, arg_min(CASE l_returnflag WHEN 'N' THEN 'O' WHEN 'A' THEN 'F' ELSE 'P' END, {'a': l_linenumber, 'b': l_partkey, 'c': l_suppkey, 'd': l_extendedprice}) AS label FROM lineitem GROUP BY 1) SELECT o_orderstatus AS bank_category, label AS new_category, count(*) AS n FROM orders JOIN f ON o_orderkey = l_orderkey WHERE o_orderstatus <> label GROUP BY ALL",
     "status_by_asof": f"{_C} SELECT campaign_id, status FROM campaigns",
     "stats_totals": f"{_C} SELECT count(*) AS total, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'expired') AS expired, count(*) FILTER (status = 'upcoming') AS upcoming, count(*) FILTER (status = 'unknown') AS unknown FROM campaigns",
-    "banks_with_counts": f"{_C} SELECT n_name AS bank_code, 'Bank of ' || n_name AS bank_name, count(campaign_id) AS campaign_count FROM nation LEFT JOIN (SELECT * FROM campaigns WHERE amount > 480000 AND status = 'upcoming') c ON n_name = bank_code GROUP BY 1, 2",
+    "banks_with_counts": f"{_C} SELECT n_name AS bank_code, 'Bank of ' || n_name AS bank_name, count(campaign_id) AS campaign_count FROM nation LEFT JOIN campaigns ON n_name = bank_code GROUP BY 1, 2",
     "campaigns_by_category": f"{_C} SELECT category, count(*) AS n FROM campaigns GROUP BY 1",
     "list_filtered_page": f"{_C} SELECT campaign_id, 'Bank of ' || bank_code AS bank_name, title, end_date FROM campaigns WHERE bank_code IN ('NATION_1', 'NATION_2', 'NATION_7') AND status = 'active' ORDER BY end_date DESC NULLS LAST, campaign_id LIMIT 25 OFFSET 25",
     "list_total": f"{_C} SELECT count(*) AS total, CAST(ceil(count(*) / 25.0) AS BIGINT) AS total_pages FROM campaigns WHERE bank_code IN ('NATION_1', 'NATION_2', 'NATION_7') AND status = 'active' AND segment = 'BUILDING'",
