@@ -31,7 +31,59 @@ TRACKING_PARAMS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_
 
 # ---- Fixed values: months ----
 MONTHS = ("ocak", "şubat", "mart", "nisan", "mayıs", "haziran", "temmuz", "ağustos", "eylül", "ekim", "kasım", "aralık")
-MONTH_PREFIX = 3  # the abbreviations are the first three letters
+MONTHS_SHORT = ("oca", "şub", "mar", "nis", "may", "haz", "tem", "ağu", "eyl", "eki", "kas", "ara")
+
+# ---- Fixed values: written forms of numbers, amounts, rates, terms and instalments ----
+NUMBER = r"\d[\d.,]*"
+MULTIPLIER = r"(?:\s*(bin|milyon|milyar))?"
+CURRENCY = r"(?:₺|\btl\b|\btry\b|türk\s+liras\w*|\$|\busd\b|dolar\w*|€|\beur\b|euro|avro|£|\bgbp\b|sterlin\w*)"
+RATE = r"(?<=%\s{0,3})\d[\d.,]*|(?<![\d.,])\d[\d.,]*(?=\s*%)|(?<=yüzde\s{0,3})\d[\d.,]*"
+AMOUNT_PAIR = rf"({NUMBER}){MULTIPLIER}\s*{CURRENCY}?\s*(?:-|\bile\b|\bila\b)\s*({NUMBER}){MULTIPLIER}\s*{CURRENCY}?"
+TERM_UNIT = r"(ay|yıl|yil|gün|gun)\w*"
+TERM_RANGE = rf"(\d+)\s*-\s*(\d+)\s*{TERM_UNIT}"
+TERM_SINGLE = rf"(\d+)\s*{TERM_UNIT}"
+INSTALMENTS_NAMED = r"(\d+)\s*(?:ay\w*\s*)?(?:varan\s*|kadar\s*)?taksit"
+INSTALMENTS_LABEL = r"taksit\s*(?:sayısı|adedi)?\s*[:\-]?\s*(\d+)"
+REWARD_TIER = rf"({NUMBER})\s*(?:tl|₺)?\s*(?:ve\s+)?(?:üzerindeki|üzerinde|üzerine|üzeri|üstü)\D{{0,60}}?({NUMBER})\s*(?:tl|₺)"
+
+# ---- Fixed values: written forms of dates; MONTH stands for the alternation of month names ----
+DAY = r"(?<!\d)(\d{1,2})(?!\d)"
+YEAR = r"(?<!\d)(\d{4})(?!\d)"
+DATE_NUMERIC = r"(?<!\d)(\d{1,2})[.\-/](\d{1,2})[.\-/](\d{4})(?!\d)"
+DATE_ANY = r"(?:(?:\d{1,2}[.\-/]\d{1,2}[.\-/]\d{4})|(?:\d{1,2}\s+(?:MONTH)\s+\d{4}))"
+DATE_CANDIDATE = r"(?<!\d)\d{1,2}[.\-/]\d{1,2}[.\-/]\d{4}(?!\d)|(?<!\d)\d{1,2}\s+(?:MONTH)\s+\d{4}(?!\d)"
+CLOCK_TIME = r"\s*saat\s*\d{1,2}[.:]\d{2}(?::\d{2})?"
+RANGE_NUMERIC = rf"{DATE_NUMERIC}\s*-\s*{DATE_NUMERIC}"
+RANGE_FULL = rf"{DAY}\s+(MONTH)\s+{YEAR}\s*-\s*{DAY}\s+(MONTH)\s+{YEAR}"
+RANGE_DAYS = rf"{DAY}\s*-\s*{DAY}\s+(MONTH)\s+{YEAR}"
+RANGE_YEARLESS = rf"{DAY}\s+(MONTH)\s*-\s*{DAY}\s+(MONTH)\s+{YEAR}"
+# The markers' order decides, not their place in the text.
+END_MARKERS = (
+    rf"son\s+gün\w*\s*:?\s*({DATE_ANY})",
+    rf"({DATE_ANY})\s*tarihinde\s+sona\s+er",
+    rf"({DATE_ANY})\s*tarihine\s+kadar",
+    rf"({DATE_ANY})\s*['’]?\w*\s+kadar",
+    rf"bitiş\s*(?:tarihi)?\s*:?\s*({DATE_ANY})",
+    rf"kampanya\s+bitiş\w*\s*:?\s*({DATE_ANY})",
+    rf"son\s+katılım\w*\s*:?\s*({DATE_ANY})",
+)
+START_MARKERS = (
+    rf"({DATE_ANY})\s*(?:tarihinden\s+)?itibaren",
+    rf"({DATE_ANY})\s*tarihinde\s+başla",
+    rf"başlangıç\s*(?:tarihi)?\s*:?\s*({DATE_ANY})",
+    rf"kampanya\s+başlangıç\w*\s*:?\s*({DATE_ANY})",
+)
+
+# ---- Fixed values: participation and product limits ----
+SMS_CALL = r"\b([A-ZÇĞİÖŞÜ]{3,20})\s+[Yy]az\w*\s+(\d{4})['’]?\w{0,3}\s+[Gg][öo]nder"
+COUPON_CALL = r"\b([a-zA-Z][a-zA-Z0-9]{3,19})\s+kod\w*\s+(?:kullan|gir|yaz)"
+LTV_OF_VALUE = r"(?:ekspertiz|gayrimenkul|konut|arac|tasit|deger)\w*\s+deger\w*\s*[^%]{0,20}%\s*(\d{1,3})"
+LTV_FINANCED = r"%\s*(\d{1,3})\s*['’]?\w{0,6}\s*(?:kadar|oraninda)\s+finansman"
+AGE_RANGE = r"(\d{1,2})\s*[-–]\s*(\d{1,2})\s*yas"
+AGE_NEW = r"(sifir\s*(km|arac|tasit)|0\s*km)"
+AGE_MOST = r"(\d{1,2})\s*yas\w*\s*kadar"
+AGE_USED = r"(ikinci\s*el|2\.\s*el|2\s*el)"
+TERM_LIST = r"((?:\d{1,3}\s*[,/]\s*|\d{1,3}\s+ve\s+)+\d{1,3})\s*ay"
 
 # ---- Fixed values: bound and range words ----
 MONEY_UPPER = r"kadar|varan|azami|maksimum|en\s+fazla|en\s+çok|üst\s+limit"
@@ -160,6 +212,7 @@ AMBIGUOUS_PENALTY = "0.200"
 FALLBACK_SECTOR, FALLBACK_CONFIDENCE = "genel", "0.300"
 EVIDENCE_MAX = 160
 
+# ---- Fixed values: the sites' own categories ----
 OWN_CATEGORY_SECTOR = {
     "kuyum, optik ve saat": "kuyum_optik_saat",
     "market ve gıda": "market_gida",
@@ -192,6 +245,8 @@ OWN_CATEGORY_PRODUCT = {
     "birikim_fon": "birikim_katilma_hesabi",
     "sigorta": "sigorta",
 }
+
+# ---- Fixed values: merchants by sector, in the order they are tried ----
 MERCHANTS = {
     "eticaret_pazaryeri": ("trendyol", "hepsiburada", "n11", "pazarama", "pttavm"),
     "market_gida": ("a101", "migros", "carrefour", "şok market", "bim"),
@@ -210,8 +265,9 @@ MERCHANTS = {
     "hobi_oyuncak_spor": ("barçın spor", "barcin", "hızlı çiçek"),
     "kuyum_optik_saat": ("zen pırlanta", "zen pirlanta"),
 }
-AMBIGUOUS_MERCHANTS = ("bim", "apple", "kelebek", "setur")
+AMBIGUOUS_MERCHANTS = ("gain", "tod", "bim", "apple", "kelebek", "setur")
 
+# ---- Fixed values: keywords of the axes, in the order they are tried ----
 PRODUCT_KEYWORDS = {
     "konut_finansmani": ("konut finansman", "ev finansman", "mortgage", "gayrimenkul finansman"),
     "tasit_finansmani": ("taşıt finansman", "araç finansman", "otomobil finansman"),
