@@ -85,13 +85,16 @@ def path_label(url: Column, position: int, labels: dict[str, str]) -> Column:
     return F.try_element_at(table, F.try_element_at(U.path_parts(url), F.lit(position)))
 
 
-def discover_links(nodes: DataFrame, listings: DataFrame) -> DataFrame:
-    """Anchors of listing pages as absolute URLs; the first listing wins, archive pages come last.
+def discover_links(nodes: DataFrame, listings: DataFrame, detail: Column | None = None) -> DataFrame:
+    """Anchors of listing pages as absolute URLs that pass `detail`, a test on the column link; the first listing wins,
+    archive pages come last.
 
     listings: page_id, url, priority, category, is_archive (one row per listing page).
     """
     anchors = nodes.filter("tag = 'a'").select("page_id", "pre", F.col("attrs")["href"].alias("href"))
     joined = anchors.join(listings.hint("merge"), "page_id").withColumn("link", U.resolve(F.col("href"), F.col("url")))
+    if detail is not None:
+        joined = joined.filter(detail)
     joined = joined.filter("link IS NOT NULL").withColumn("page_key", U.canonical_key(F.col("link")))
     return first_by(joined, ["page_key"], F.col("is_archive"), F.col("priority"), F.col("page_id"), F.col("pre")).select("page_key", "link", "category", "is_archive", "priority")
 

@@ -17,7 +17,8 @@ def _contains_any(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def form_controls(nodes: DataFrame) -> DataFrame:
-    """page_id, name, kind, pre, node_id, label, min, max, step: one row per named control; radios of a name are one."""
+    """page_id, name, kind, pre, node_id, label, min, max, step: one row per named control, each radio
+    button being one."""
     a = F.col("attrs")
     kind = F.when(F.col("tag") == "select", "select").when(F.col("tag") == "textarea", "text").otherwise(F.lower(F.coalesce(a["type"], F.lit("text"))))
     name = F.coalesce(F.nullif(a["name"], F.lit("")), F.nullif(F.col("id"), F.lit("")), F.nullif(a["data-name"], F.lit("")))

@@ -55,24 +55,23 @@ def _rule_hits(campaigns: DataFrame, rules: list[tuple], composed: bool) -> Data
     folded = [(*r[:6], fold_literal(r[6])) for r in rules]
     words = sorted({r[6] for r in folded}, key=lambda w: (-len(w), w))
     pattern = r"(?<![a-z0-9])(?=(" + "|".join(re.escape(w).replace(r"\ ", " ") for w in words) + "))"
-    expanded = [(w, *r) for w in words for r in folded if w.startswith(r[6])]
-    table = F.broadcast(spark.createDataFrame(expanded, f"captured string, {RULE_SCHEMA}"))
+    expanded = [(w, *r, rf"(?<![a-z0-9]){re.escape(r[6])}") for w in words for r in folded if w.startswith(r[6])]
+    table = F.broadcast(spark.createDataFrame(expanded, f"captured string, {RULE_SCHEMA}, at_start string"))
     norm = (lambda c: tidy(c)) if composed else normalize_text
     head = F.concat_ws(" ", F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("description"), F.lit("")))
     whole = F.concat_ws(" ", head, F.nullif(F.col("conditions_text"), F.lit("")))
+    key = lambda c: ascii_fold(lower_tr(c))
     texts = campaigns.select("campaign_id", norm(head).alias("head"), norm(whole).alias("all"))
-    scopes = F.array(*[F.struct(F.lit(s).alias("scope_of"), F.col(s).alias("text")) for s in ("head", "all")])
-    keyed = texts.select("campaign_id", F.explode(scopes).alias("s")).select("campaign_id", "s.*")
-    keyed = keyed.withColumn("key", ascii_fold(lower_tr(F.col("text"))))
-    found = keyed.withColumn("captured", F.explode(F.array_distinct(F.regexp_extract_all("key", F.lit(pattern), F.lit(1)))))
-    hits = found.join(table, "captured").filter("scope = scope_of")
-    # The first rule word of a value (merchants: of a sector) in dictionary order.
-    first = Window.partitionBy("campaign_id", "axis", "value", "source").orderBy("priority")
-    hits = hits.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    keyed = texts.withColumn("all_key", key(F.col("all"))).withColumn("captured", F.explode(F.array_distinct(F.regexp_extract_all("all_key", F.lit(pattern), F.lit(1)))))
+    # The head starts the whole text, so its words are among those found there; only hits of head rules look again.
+    text = F.when(F.col("scope") == "head", F.col("head")).otherwise(F.col("all"))
+    hits = keyed.join(table, "captured").withColumn("text", text).withColumn("key", key(F.col("text"))).filter("scope = 'all' OR key RLIKE at_start")
     place = F.expr("locate(word, key)")
     begin = F.greatest(place - 40, F.lit(1))
-    evidence = F.substring(F.col("text"), begin, place + F.length("word") + 60 - begin)
-    return hits.select("campaign_id", "axis", "value", "source", "confidence", F.substring(evidence, 1, V.EVIDENCE_MAX).alias("evidence"), (F.col("priority") + 2).alias("seq"))
+    evidence = F.substring(F.substring(F.col("text"), begin, place + F.length("word") + 60 - begin), 1, V.EVIDENCE_MAX)
+    # The first rule word of a value (merchants: of a sector) in dictionary order.
+    first = hits.groupBy("campaign_id", "axis", "value", "source").agg(F.min_by(F.struct("confidence", evidence.alias("evidence")), "priority").alias("hit"), F.min("priority").alias("priority"))
+    return first.select("campaign_id", "axis", "value", "source", "hit.confidence", "hit.evidence", (F.col("priority") + 2).alias("seq"))
 
 
 def strongest(labels: DataFrame) -> DataFrame:
@@ -125,6 +124,12 @@ def invalid_labels(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(valid), ["axis", "value"], "left_anti")
 
 
+def invalid_variants(variants: DataFrame) -> DataFrame:
+    """Rows whose (dimension, variant_key) is not in the vocabulary; a key of another dimension is not."""
+    valid = variants.sparkSession.createDataFrame([(d, k) for d, keys in V.VARIANTS.items() for k in keys], "dimension string, variant_key string")
+    return variants.join(F.broadcast(valid), ["dimension", "variant_key"], "left_anti")
+
+
 def rate_provenance(rates: DataFrame, source_col: str = "rate_source") -> DataFrame:
     """Adds confidence (0 for unknown sources) and comparable."""
     table = rates.sparkSession.createDataFrame([(s, Decimal(c)) for s, c in V.RATE_CONFIDENCE], "_source string, _conf decimal(4,3)")

@@ -149,10 +149,11 @@ def participation(s, d):
 
 
 def evidence_rows(s, d):
-    """Long-form evidence: the matched substring and its span."""
-    o = _window_texts(s, d)
-    fields = {"date": F.regexp_extract("low", r"\d{1,2}[.]\d{1,2}[.]\d{4}", 0), "marker": F.regexp_extract("low", "son gün", 0)}
-    return E.evidence_rows(o, "o_orderkey", "low", fields).groupBy("field", "span_start").agg(F.count("*").alias("n"), F.sum("span_end").alias("ends"))
+    """Long-form evidence of dates and end markers: raw and normalised value, span, confidence."""
+    date = F.regexp_extract("low", r"\d{1,2}[.]\d{1,2}[.]\d{4}", 0)
+    sure, weak = F.lit("0.750"), F.lit("0.500")
+    fields = {"date": (date, E.first_date(date), sure), "marker": (F.regexp_extract("low", "son gün", 0), F.lit(None), weak)}
+    return E.evidence_rows(_window_texts(s, d), "o_orderkey", "low", fields).withColumn("confidence", _double(F.col("confidence")))
 
 
 # ---- markup ----
@@ -272,12 +273,35 @@ def campaign_page_rows(s, d):
     return rows.select("page_id", "external_slug", "title", "conditions_text", "exclusions", "segment", "is_archived")
 
 
-FUNCTIONS = [validity_windows, first_dates, window_sources, money_roundtrip, money_ranges, decimal_forms, rate_ranges, term_months, instalment_counts, reward_tiers, limits_record, vehicle_ages, derived_rates, participation, evidence_rows, rate_table_rows, condition_sections, table_cells, form_options, form_controls, form_variants, form_sampling, legal_notices, calculator_mechanisms, card_labels, campaign_page_rows]
+def _noisy_pages(s, d):
+    """A page per customer around two known paragraphs: noise of every kind, a boilerplate line, and a main element that
+    is long enough (segment BUILDING), marked by class (FURNITURE), too short (MACHINERY) or missing."""
+    c = table(s, d, "customer")
+    key, seg = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    text = F.concat(F.lit("<h1>Başlık "), key, F.lit("</h1><p>Birinci <b>paragraf</b> metni "), key, F.lit(" burada yer alır.</p><p>İkinci paragraf\n  burada biter.</p><table><tr><td>Vade</td><td>"), key, F.lit("</td></tr></table><p>Tüm hakları saklıdır.</p>"))
+    main = F.when(seg == "BUILDING", F.concat(F.lit("<main>"), text, F.lit("</main><div>Dışarıda</div>"))).when(seg == "FURNITURE", F.concat(F.lit('<div class="x campaign-detail">'), text, F.lit("</div><p>Dışarıda</p>"))).when(seg == "MACHINERY", F.concat(F.lit("<main>Kısa</main>"), text)).otherwise(text)
+    html = F.concat(
+        F.lit('<html><head><title>Site</title><style>p{}</style></head><body><nav>Ana sayfa</nav><header>Logo</header><div class="cookie-bar">Kabul et</div><script>var a = "<p>x</p>";</script><form><select><option>Seç</option></select>'),
+        main, F.lit('</form><aside>Yan</aside><div id="site-footer">Alt</div><footer>Son</footer></body></html>'),
+    )
+    return c.select(F.col("c_custkey").alias("page_id"), html.alias("html"))
+
+
+def cleaned_texts(s, d):
+    """Clean text of the rendered pages: noise out, main content chosen, lines and cells set."""
+    ship_package(s)
+    return P.clean_text(P.main_content(P.without_noise(_nodes(_noisy_pages(s, d)))))
+
+
+FUNCTIONS = [validity_windows, first_dates, window_sources, money_roundtrip, money_ranges, decimal_forms, rate_ranges, term_months, instalment_counts, reward_tiers, limits_record, vehicle_ages, derived_rates, participation, evidence_rows, rate_table_rows, condition_sections, table_cells, form_options, form_controls, form_variants, form_sampling, legal_notices, calculator_mechanisms, card_labels, campaign_page_rows, cleaned_texts]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _S, _E = "CAST(o_orderdate AS DATE)", "CAST(o_orderdate AS DATE) + 20"
 _P = "o_orderpriority"
 ORACLE = {
+    "evidence_rows": f"SELECT o_orderkey, 'date' AS field, r AS value_raw, CAST(s AS VARCHAR) AS value_normalized, 13 AS span_start, 13 + CAST(length(r) AS INTEGER) AS span_end, 0.75 AS confidence, 'rule' AS method FROM (SELECT o_orderkey, {_S} AS s, strftime({_S}, '%-d.%-m.%Y') AS r FROM orders WHERE {_P} = '2-HIGH') UNION ALL SELECT o_orderkey, 'marker', 'son gün', NULL, 1, 8, 0.5, 'rule' FROM orders WHERE {_P} = '5-LOW'",
+    "form_controls": "SELECT p_partkey AS page_id, c.n AS name, c.k AS kind, c.l AS label, c.p AS pre FROM (SELECT p_partkey, unnest([{'n': 'urun', 'k': 'select', 'l': 'Finansman türü', 'p': 5}, {'n': 'vade', 'k': 'select', 'l': 'Vade 12 Ay 36 Ay ' || p_size || ' Ay', 'p': 16}, {'n': 'tutar', 'k': 'range', 'l': NULL, 'p': 23}, {'n': 'sigorta', 'k': 'radio', 'l': NULL, 'p': 25}, {'n': 'sigorta', 'k': 'radio', 'l': NULL, 'p': 26}]) AS c FROM part)",
+    "cleaned_texts": "SELECT c_custkey AS page_id, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Kısa' || chr(10) ELSE '' END || 'Başlık ' || c_custkey || chr(10) || 'Birinci paragraf metni ' || c_custkey || ' burada yer alır.' || chr(10) || 'İkinci paragraf burada biter.' || chr(10) || 'Vade | ' || c_custkey AS clean_text FROM customer",
     "campaign_page_rows": "SELECT s_suppkey AS page_id, 'teklif-' || s_suppkey AS external_slug, 'Teklif ' || s_suppkey AS title, 'Koşul ' || s_suppkey || chr(10) || chr(10) || 'A | ' || s_suppkey || chr(10) || 'B | 2' AS conditions_text, 'Hariç ' || s_suppkey AS exclusions, CASE WHEN s_nationkey = 6 THEN 'tarim' WHEN s_nationkey % 2 = 0 THEN 'personal' ELSE 'business' END AS segment, s_nationkey IN (5, 7) AS is_archived FROM supplier WHERE s_nationkey NOT IN (3, 4)",
     "validity_windows": f"SELECT o_orderkey, CASE WHEN {_P} IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN {_S} END AS start_date, CASE WHEN {_P} <> '4-NOT SPECIFIED' THEN {_E} END AS end_date, CASE {_P} WHEN '3-MEDIUM' THEN 'inferred' WHEN '4-NOT SPECIFIED' THEN 'unknown' WHEN '5-LOW' THEN 'partial' ELSE 'exact' END AS date_precision FROM orders",
     "first_dates": f"SELECT o_orderkey, {_S} AS found FROM orders",

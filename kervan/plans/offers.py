@@ -6,6 +6,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
+from ..functions.text import fold_literal
 from ..operators import query as Q
 from ..operators import quality_checks as C
 from ..operators import taxonomy as X
@@ -65,6 +67,29 @@ def default_labels(s, d):
     return X.categorise(docs, composed=True).groupBy("axis", "value", "source").agg(F.count("*").alias("n"))
 
 
+def _rule_text_columns():
+    """Title and conditions of a part that hold one word of the default rules each, the title in upper case."""
+    words = F.array(*[F.lit(r[-1]) for r in X.default_rules()])
+    at = lambda n: F.element_at(words, (F.col("p_partkey") * n % F.size(words) + 1).cast("int"))
+    upper = F.upper(F.translate(at(1), "iı", "İI"))
+    return F.concat(F.lit("Fırsat: "), upper, F.lit(" için teklif "), "p_name"), F.concat(F.lit("Koşul ("), at(7), F.lit("da) geçerlidir"))
+
+
+def default_rule_labels(s, d):
+    """The full rule tables, with evidence, over texts that hold their words."""
+    title, conditions = _rule_text_columns()
+    none = F.lit(None).cast("string")
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("campaign_id"), title.alias("title"), none.alias("description"), conditions.alias("conditions_text"), none.alias("source_url"), none.alias("bank_category"))
+    return X.categorise(rows, composed=True).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+def invalid_variants(s, d):
+    """Parts with a dimension by brand and a key by type."""
+    dimension = F.when(F.col("p_brand") == "Brand#1", "sigorta").when(F.col("p_brand") == "Brand#2", "arac_durumu").otherwise("konut_durumu")
+    key = F.when(F.col("p_type") == "ECONOMY", "sigortali").when(F.col("p_type") == "SMALL", "sifir_arac").when(F.col("p_type") == "LARGE", "toki").otherwise("bilinmeyen")
+    return X.invalid_variants(table(s, d, "part").select("p_partkey", dimension.alias("dimension"), key.alias("variant_key"))).select("p_partkey", "dimension", "variant_key")
+
+
 def rate_provenance(s, d):
     src = F.when(F.col("l_returnflag") == "A", "html_table").when(F.col("l_returnflag") == "N", "js_default").otherwise("guess")
     r = X.rate_provenance(table(s, d, "lineitem").select(src.alias("rate_source"), "l_tax"))
@@ -265,7 +290,7 @@ def totals_reconcile(s, d):
     return C.totals_reconcile(campaigns(s, d), Q.STATUSES)
 
 
-FUNCTIONS = [campaigns_by_bank, banks_with_data, bank_lookup, campaign_count, campaign_lookup, inventory_upsert, labels_long, label_summary, label_gate, invalid_labels, display_labels, default_labels, rate_provenance, category_backfill, status_by_asof, stats_totals, banks_with_counts, campaigns_by_category, list_filtered_page, list_total, axis_exists, text_search, date_bounds, nested_labels, campaign_details, bar_shares, last_run, run_summary, fetch_outcomes, discovery_limit, upsert_second_run, upsert_counters, unseen_campaigns, forced_expired, seed_dimension, prune_dimension, dq_violations, dq_duplicate_keys, dq_orphans, totals_reconcile]
+FUNCTIONS = [campaigns_by_bank, banks_with_data, bank_lookup, campaign_count, campaign_lookup, inventory_upsert, labels_long, label_summary, label_gate, invalid_labels, display_labels, default_labels, default_rule_labels, invalid_variants, rate_provenance, category_backfill, status_by_asof, stats_totals, banks_with_counts, campaigns_by_category, list_filtered_page, list_total, axis_exists, text_search, date_bounds, nested_labels, campaign_details, bar_shares, last_run, run_summary, fetch_outcomes, discovery_limit, upsert_second_run, upsert_counters, unseen_campaigns, forced_expired, seed_dimension, prune_dimension, dq_violations, dq_duplicate_keys, dq_orphans, totals_reconcile]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _HIT = "regexp_matches(h, '(^|[^a-z0-9]){}')"
@@ -276,6 +301,18 @@ hits AS (SELECT campaign_id, axis, value, source, confidence, prio FROM p JOIN r
 own AS (SELECT campaign_id, 'product_type' AS axis, 'kart' AS value, 'url' AS source, 1.0 AS confidence, -2 AS prio FROM p WHERE p_brand = 'Brand#2' UNION ALL SELECT campaign_id, 'sector', 'eticaret_pazaryeri', 'bank_category', 1.0, -1 FROM p WHERE p_brand = 'Brand#4'),
 best AS (SELECT * FROM (SELECT * FROM hits UNION ALL SELECT * FROM own) QUALIFY row_number() OVER (PARTITION BY campaign_id, axis, value ORDER BY confidence DESC, prio) = 1),
 lab AS (SELECT campaign_id, axis, value, CAST(confidence AS DOUBLE) AS confidence, source FROM best UNION ALL SELECT campaign_id, 'sector', 'genel', 0.3, 'keyword' FROM p WHERE campaign_id NOT IN (SELECT campaign_id FROM best WHERE axis = 'sector'))"""
+_q = lambda text: text.replace("'", "''")
+_FOLD = f"translate(lower(translate({{}}, 'İI', 'iı')), '{V.FOLD_FROM}', '{V.FOLD_TO}')"
+_RULE_ROWS = ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}', {r[3]}, '{r[4]}', {r[5]}, '{_q(fold_literal(r[6]))}')" for r in X.default_rules())
+_WORDS = "[" + ", ".join(f"'{_q(r[6])}'" for r in X.default_rules()) + "]"
+#: The default rules over c(campaign_id, h, a): title, and title with conditions.
+_DEFAULTS = f"""dr AS (SELECT * FROM (VALUES {_RULE_ROWS}) t(axis, value, source, confidence, scope, prio, word)),
+dk AS (SELECT campaign_id, h, a, {_FOLD.format('h')} AS hk, {_FOLD.format('a')} AS ak FROM c),
+dt AS (SELECT campaign_id, 'head' AS scope, h AS t, hk AS k FROM dk UNION ALL SELECT campaign_id, 'all', a, ak FROM dk),
+dh AS (SELECT *, strpos(k, word) AS place FROM dt JOIN dr USING (scope) WHERE contains(k, word) AND regexp_matches(k, '(^|[^a-z0-9])' || regexp_replace(word, '([+.''-])', '[\\1]', 'g')) QUALIFY row_number() OVER (PARTITION BY campaign_id, axis, value, source ORDER BY prio) = 1),
+db AS (SELECT * FROM dh QUALIFY row_number() OVER (PARTITION BY campaign_id, axis, value ORDER BY confidence DESC, prio) = 1),
+dl AS (SELECT campaign_id, axis, value, CAST(confidence AS DOUBLE) AS confidence, source, substring(substring(t, greatest(place - 40, 1), place + length(word) + 60 - greatest(place - 40, 1)), 1, 160) AS evidence FROM db
+    UNION ALL SELECT campaign_id, 'sector', 'genel', 0.3, 'keyword', NULL FROM c WHERE campaign_id NOT IN (SELECT campaign_id FROM db WHERE axis = 'sector'))"""
 _C = f"WITH {SQL_CAMPAIGNS}"
 _RUN = """, stored AS (SELECT * FROM campaigns WHERE NOT starts_with(title, '1-URGENT')),
 run AS (SELECT *, 1 AS n, end_date + 1 AS new_end FROM campaigns WHERE NOT starts_with(title, '5-LOW') AND NOT starts_with(title, '1-URGENT') UNION ALL SELECT *, 2, end_date + 2 FROM campaigns WHERE starts_with(title, '1-URGENT'))"""
@@ -287,6 +324,9 @@ ORACLE = {
     "campaign_count": f"{_C} SELECT count(*) AS campaigns FROM campaigns",
     "campaign_lookup": f"{_C}, {SQL_LABELS} SELECT campaign_id, 'Bank of ' || bank_code AS bank_name, title, (SELECT o_orderstatus FROM orders WHERE o_orderkey = campaign_id) AS doc_status, coalesce((SELECT string_agg(axis || '=' || value, ',' ORDER BY axis, value) FROM labels_ l WHERE l.campaign_id = c.campaign_id), '') AS labels FROM campaigns c WHERE campaign_id = 7",
     "inventory_upsert": "SELECT 'NATION_' || s_nationkey AS bank_code, s_name AS page_url, CAST(round(s_acctbal) AS BIGINT) + CASE WHEN s_nationkey >= 10 THEN 1 ELSE 0 END AS controls, CASE WHEN s_nationkey <= 14 THEN DATE '2026-01-01' ELSE DATE '2026-02-01' END AS first_seen, CASE WHEN s_nationkey >= 10 THEN DATE '2026-02-01' ELSE DATE '2026-01-01' END AS last_seen, CASE WHEN s_nationkey < 10 THEN 'keep' WHEN s_nationkey <= 14 THEN 'update' ELSE 'insert' END AS action FROM supplier",
+    "default_labels": f"WITH c AS (SELECT doc_id AS campaign_id, text AS h, text AS a FROM documents), {_DEFAULTS} SELECT axis, value, source, count(*) AS n FROM dl GROUP BY ALL",
+    "default_rule_labels": f"WITH w AS (SELECT {_WORDS} AS words), p AS (SELECT p_partkey AS campaign_id, 'Fırsat: ' || upper(translate(words[p_partkey % len(words) + 1], 'iı', 'İI')) || ' için teklif ' || p_name AS h, 'Koşul (' || words[p_partkey * 7 % len(words) + 1] || 'da) geçerlidir' AS conditions FROM part, w), c AS (SELECT campaign_id, replace(h, '  ', ' ') AS h, replace(h || ' ' || conditions, '  ', ' ') AS a FROM p), {_DEFAULTS} SELECT * FROM dl",
+    "invalid_variants": "SELECT * FROM (SELECT p_partkey, CASE p_brand WHEN 'Brand#1' THEN 'sigorta' WHEN 'Brand#2' THEN 'arac_durumu' ELSE 'konut_durumu' END AS dimension, CASE p_type WHEN 'ECONOMY' THEN 'sigortali' WHEN 'SMALL' THEN 'sifir_arac' WHEN 'LARGE' THEN 'toki' ELSE 'bilinmeyen' END AS variant_key FROM part) WHERE (dimension, variant_key) NOT IN (('sigorta', 'sigortali'), ('arac_durumu', 'sifir_arac'), ('konut_durumu', 'toki'))",
     "labels_long": f"WITH {_LAB} SELECT * FROM lab",
     "label_summary": f"WITH {_LAB} SELECT 'axis' AS section, axis AS key, count(*) AS n FROM lab GROUP BY axis UNION ALL SELECT 'source', source, count(*) FROM lab GROUP BY source UNION ALL SELECT 'value', axis || '/' || value, count(*) FROM lab GROUP BY axis, value",
     "label_gate": f"WITH {_LAB}, g AS (SELECT campaign_id, max(CASE WHEN axis = 'sector' AND value = 'genel' AND confidence <= 0.3 THEN 1 ELSE 0 END) AS f, max(CASE WHEN axis = 'product_type' THEN 1 ELSE 0 END) AS p FROM lab GROUP BY 1) SELECT count(*) AS campaigns, CAST(sum(f) AS BIGINT) AS fallback_only, CAST(sum(1 - p) AS BIGINT) AS missing_product_type, round(sum(f) / count(*), 6) AS ratio, sum(f) / count(*) < 0.4 AS passed FROM g",

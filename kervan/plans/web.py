@@ -15,6 +15,11 @@ from ..sources import archives as A
 
 PATH_RULES = [("skip", ("/es/",)), ("campaign", ("/en/",)), ("product", ("/fr/", "/de/"))]
 PREFIXES = ["/en/", "/de/", "/fr/"]
+#: One line for each default pattern, in their order.
+BOILERPLATE_LINES = (
+    "ÇEREZ POLİTİKASI hakkında", "Cookie  Policy", "KVKK kapsamında", "Aydınlatma Metni için tıklayın", "Gizlilik bildirimi", "Tüm hakları saklıdır.", "Bilgi Toplumu Hizmetleri",
+    "Müşteri Hizmetleri: 0850 000 00 00", "Sosyal medya hesaplarımız", "Mobil uygulamayı indirin", "App Store'dan edinin", "Sitede gezinmeye devam ederek kabul edersiniz", "Tarayıcı ayarlarınızı kontrol edin",
+)
 LICENCE = (r"licensed\s+under", r"all\s+rights\s+reserved")
 
 
@@ -90,6 +95,14 @@ def link_discovery(s, d):
     return D.discover_links(P.page_nodes(pages), listings).select("page_key", "link", "priority")
 
 
+def listing_links(s, d):
+    """Links of pages of two languages as listings, those in Spanish as the archive; only words of plain letters lead to details."""
+    ship_package(s)
+    section = F.try_element_at(U.path_parts(F.col("url")), F.lit(1))
+    listings = _pages(s, d).select("page_id", "url", F.col("page_id").alias("priority"), section.alias("category"), (section == "es").alias("is_archive")).filter("category IN ('en', 'es')")
+    return D.discover_links(P.page_nodes(_pages(s, d)), listings, F.col("link").rlike("/[A-Za-z]+$")).select("link", "category", "is_archive", "priority")
+
+
 def page_nodes_count(s, d):
     ship_package(s)
     n = P.page_nodes(_pages(s, d))
@@ -136,6 +149,13 @@ def boilerplate_lines(s, d):
     return table(s, d, "documents").select("doc_id", F.size(F.split(t, "\n")).cast("long").alias("n_lines"), F.length(t).cast("long").alias("n_kept"))
 
 
+def boilerplate_defaults(s, d):
+    """Texts of three lines whose second is one kind of boilerplate, or none: the default patterns find every kind."""
+    line = F.try_element_at(F.array(*[F.lit(x) for x in BOILERPLATE_LINES]), (F.col("p_partkey") % (len(BOILERPLATE_LINES) + 2) + 1).cast("int"))
+    t = F.concat(F.lit("Teklif "), "p_name", F.lit("\n"), F.coalesce(line, F.lit("Çerez sevenlere indirim")), F.lit("\nSon satır"))
+    return table(s, d, "part").select("p_partkey", T.strip_boilerplate(t, composed=True).alias("kept"))
+
+
 def first_lines(s, d):
     return table(s, d, "documents").select("doc_id", T.first_line(T.tidy(F.col("text"))).alias("line"))
 
@@ -182,7 +202,7 @@ def url_segments(s, d):
     return _pages(s, d).select("page_id", D.path_label(F.col("url"), 1, names).alias("segment"))
 
 
-FUNCTIONS = [site_overview, url_canonical, url_key_dedupe, url_slug, url_same_page_pairs, url_classes, url_site_rules, discovery_merge, prefix_rank_dedupe, sitemap_filter, sitemap_roundtrip, robots_sitemaps, link_discovery, page_nodes_count, page_titles, page_clean_text, soft_404_pages, catch_all_pages, text_match_key, duplicate_content, boilerplate_lines, first_lines, first_paragraphs, slugs, json_shape, snapshot_names, new_snapshots, crawl_log, listing_selection, url_segments]
+FUNCTIONS = [site_overview, url_canonical, url_key_dedupe, url_slug, url_same_page_pairs, url_classes, url_site_rules, discovery_merge, prefix_rank_dedupe, sitemap_filter, sitemap_roundtrip, robots_sitemaps, link_discovery, listing_links, page_nodes_count, page_titles, page_clean_text, soft_404_pages, catch_all_pages, text_match_key, duplicate_content, boilerplate_lines, boilerplate_defaults, first_lines, first_paragraphs, slugs, json_shape, snapshot_names, new_snapshots, crawl_log, listing_selection, url_segments]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _PARAMS = ", ".join(f"'{p}'" for p in V.TRACKING_PARAMS)
@@ -197,7 +217,17 @@ _CANON = "lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || regexp_extr
 _BARE = "trim(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
 _TIDY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\f\\x0B]+', ' ', 'g'), '[^\\S\\n]*\\n[^\\S\\n]*', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '\\A\\s+|\\s+\\z', '', 'g')"
 
+# Text of a heading or title with its entities read, as the parser reads it.
+_HEAD = "trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<{0}[^>]*>(.*?)</{0}>', 1, 's'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_ANCHORS = f"""{_U}, a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS n FROM pages),
+l AS (SELECT page_id, n, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href AS link, 'https://' || regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '') || rtrim(href, '/') AS page_key, regexp_extract(url, '^[A-Za-z]+://[^/?#]*/([^/?#]*)', 1) AS category FROM a)"""
+
 ORACLE = {
+    "page_titles": f"WITH t AS (SELECT page_id, {_HEAD.format('h1')} AS h, {_HEAD.format('title')} AS t FROM pages), c AS (SELECT page_id, CASE WHEN length(h) >= 3 AND NOT regexp_matches(h, '{V.TITLE_PLACEHOLDER.replace(chr(39), chr(39) * 2)}') AND NOT regexp_matches(lower(h), '{V.SECTION_HEADING}') THEN h ELSE nullif(t, '') END AS title FROM t) SELECT page_id, title FROM c WHERE title IS NOT NULL",
+    "link_discovery": f"WITH {_ANCHORS} SELECT page_key, link, page_id AS priority FROM l QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY page_id, n) = 1",
+    "listing_links": f"WITH {_ANCHORS} SELECT link, category, category = 'es' AS is_archive, page_id AS priority FROM l WHERE category IN ('en', 'es') AND regexp_matches(link, '/[A-Za-z]+$') QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY category = 'es', page_id, n) = 1",
+    "boilerplate_defaults": f"SELECT p_partkey, 'Teklif ' || p_name || chr(10) || CASE WHEN p_partkey % {len(BOILERPLATE_LINES) + 2} >= {len(BOILERPLATE_LINES)} THEN 'Çerez sevenlere indirim' || chr(10) ELSE '' END || 'Son satır' AS kept FROM part",
+    "first_paragraphs": f"WITH t AS (SELECT doc_id, string_split({_TIDY}, chr(10)) AS lines FROM documents), r AS (SELECT doc_id, list_reduce(lines, lambda s, l: CASE WHEN starts_with(s, chr(1)) THEN s WHEN l = '' OR l = lines[1] THEN '' WHEN length(trim(s || ' ' || l)) >= 80 THEN chr(1) || trim(s || ' ' || l) ELSE trim(s || ' ' || l) END, '') AS s FROM t) SELECT doc_id, CASE WHEN starts_with(s, chr(1)) THEN substring(s, 2, 500) END AS paragraph FROM r",
     "site_overview": f"WITH {_U} SELECT host, count(*) AS pages, count(DISTINCT page_key) AS distinct_pages, count(DISTINCT {_BARE.format('html')}) AS distinct_contents FROM keyed GROUP BY host",
     "url_canonical": f"WITH {_U} SELECT page_id, {_CANON} AS canonical_url, sha256({_CANON}) AS url_hash, host FROM u",
     "url_key_dedupe": f"WITH {_U} SELECT page_id, url, page_key FROM keyed QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY page_id) = 1",

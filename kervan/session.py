@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def build_session(app_name: str = "kervan", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -52,8 +53,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="kervan-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # The setting cannot be changed in a running session, so the folder is kept here.
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="kervan-shared-")
+        base = _LOCAL_FOLDERS[application]
     return base.rstrip("/")
 
 

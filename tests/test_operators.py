@@ -234,6 +234,39 @@ def test_first_paragraph(spark):
     assert got == ["a" * 50 + " " + "b" * 40, None]
 
 
+def test_shared_folder_without_setting(monkeypatch):
+    """A local session without the setting gets one folder, kept for the application; a cluster's is refused."""
+    from types import SimpleNamespace as N
+
+    from kervan.session import shared_folder
+
+    session = lambda master: N(conf=N(get=lambda key, default=None: default), sparkContext=N(master=master, applicationId="app"))
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://host:7077"))
+
+
+def test_table_roundtrip(spark):
+    """Tables are written by name, partitioned, and read back."""
+    from kervan.sources.archives import save_table
+
+    rows = [(1, "a"), (2, "b"), (3, None)]
+    save_table(spark.createDataFrame(rows, "id int, bank_code string"), "kept_campaigns", partition=["bank_code"])
+    assert sorted(tuple(r) for r in spark.table("kept_campaigns").select("id", "bank_code").collect()) == rows
+    spark.sql("DROP TABLE kept_campaigns")
+
+
+def test_today_in_istanbul(spark):
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    from kervan.operators.query import today
+
+    before = datetime.now(ZoneInfo("Europe/Istanbul")).date()
+    found = spark.range(1).select(today().alias("d")).first()["d"]
+    assert before <= found <= datetime.now(ZoneInfo("Europe/Istanbul")).date()
+
+
 def test_entry_without_training_operators(monkeypatch, tmp_path):
     import subprocess
     import sys
