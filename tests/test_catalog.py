@@ -66,5 +66,5 @@ def test_page_clean_text(spark):
         share = size(words(article)) / size(whole)
         if share > 0.35:
             assert clean[row["page_id"]].split() == words(article)
-        elif share < 0.25:
-            assert clean[row["page_id"]].split()[-len(words(article)) :] == words(article) and "track(" not in clean[row["page_id"]]
+        elif share < 0.25:  # the whole body, less its noise; a footer of over 40 % of it is none
+            assert " ".join(words(article)) in " ".join(clean[row["page_id"]].split()) and "track(" not in clean[row["page_id"]]
