@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..session import broadcast_small
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -41,9 +42,9 @@ def classify_paths(url: Column, rules: list[tuple[str, tuple[str, ...]]]) -> Col
 
 def match_site_rules(df: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """Detail pages by one rules table (site, prefix, suffix, max_parts, excluded array): an equi-join on the site, the
-    path tests after it. The rules table is a handful of rows per site and is broadcast."""
+    path tests after it. The rules table is counted and broadcast if it is small."""
     path = U.part(F.col(url_col), "path")
-    joined = df.withColumn("site", U.bare_host(F.col(url_col))).join(F.broadcast(rules), "site")
+    joined = df.withColumn("site", U.bare_host(F.col(url_col))).join(broadcast_small(rules), "site")
     rest = F.expr("substr(_path, length(prefix) + 1)")
     joined = joined.withColumn("_path", F.regexp_replace(path, "/+$", "")).withColumn("_rest", rest)
     ok = (

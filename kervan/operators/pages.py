@@ -2,8 +2,8 @@
 
 Node table: page_id, node_id (= pre, document order), parent_id, pre, post (pre of the last node inside), depth, tag,
 cls, id, attrs, text (of text nodes, and of headings, titles, cells, labels, options, captions and links as a whole),
-subtree_len, block (changes at block tags), cell (changes at table cells), table_no, row_no, col_no, ends (last node of
-the 1st to 4th ancestor). Texts are NFKC-normalised while parsing, so no later job needs a second Python stage. Node a holds node b if they are of one page and a.pre < b.pre <= a.post.
+subtree_len, block (changes at block tags), cell (changes at table cells), table_no, row_no, col_no, starts and ends (pre
+and post of the 1st to 4th ancestor). Texts are NFKC-normalised while parsing, so no later job needs a second Python stage. Node a holds node b if they are of one page and a.pre < b.pre <= a.post.
 """
 
 from __future__ import annotations
@@ -16,94 +16,167 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract as E
+from ..functions import urls as U
 from ..functions import vocabulary as V
-from ..functions.text import fingerprint, lower_tr, match_key, strip_boilerplate, tidy
+from ..functions.text import fingerprint, first_line, lower_tr, match_key, strip_boilerplate, tidy
+from ..session import broadcast_small
 
 NODE_SCHEMA = (
     "page_id long, node_id int, parent_id int, pre int, post int, depth int, tag string, cls string, id string, attrs map<string,string>, text string, "
-    "subtree_len int, block int, cell int, table_no int, row_no int, col_no int, ends array<int>"
+    "subtree_len int, block int, cell int, table_no int, row_no int, col_no int, starts array<int>, ends array<int>"
 )
 _VOID = {"br", "img", "input", "meta", "link", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
-_ENDS = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _WHOLE_TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "title", "td", "th", "caption", "label", "option", "a", "strong", "b", "dt", "span", "em"}
 _RAW = {"script", "style"}
 _NO_ZERO_WIDTH = dict.fromkeys(map(ord, V.ZERO_WIDTH))
 
-
-class _Nodes(HTMLParser):
-    """One page's nodes, with implied end tags for lists, paragraphs, tables and options."""
+# Rules of the HTML standard for trees from tags that do not match.
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_CELLS = {"td", "th", "caption"}
+_TABLE_PARTS = {"table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", "col"}
+_NOT_IN_TABLE = {"table", "thead", "tbody", "tfoot", "tr"}  # may hold no text of their own
+_ALLOWED_IN_TABLE = _TABLE_PARTS | {"script", "style", "template", "form"}
+_INLINE = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "span", "strike", "strong", "tt", "u"}
+_CLOSES_P = {
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul",
+}
+_BLOCKS = _CLOSES_P | {"li", "dt", "dd", "body"} | _TABLE_PARTS
+#: Start tag: the elements that it ends, and those that it does not look beyond.
+_ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "table"} | _CELLS),
+    "dt": ({"dt", "dd"}, {"dl", "table"} | _CELLS),
+    "dd": ({"dt", "dd"}, {"dl", "table"} | _CELLS),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th"}, {"table"}),
+    "th": ({"td", "th"}, {"table"}),
+    "tr": ({"tr", "td", "th", "caption"}, {"table"}),
+    **{tag: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}) for tag in ("thead", "tbody", "tfoot")},
+    **{tag: ({"p"}, {"button", "table"} | _CELLS) for tag in _CLOSES_P},
+}
+
+
+class _Element:
+    __slots__ = ("attrs", "children", "ended", "parent", "tag", "text")
+
+    def __init__(self, tag: str, attrs: dict, text: str | None = None):
+        self.tag, self.attrs, self.text, self.children, self.parent, self.ended = tag, attrs, text, [], None, False
+
+
+class _Tree(HTMLParser):
+    """One page's elements. Start tags end what cannot hold them (list items, cells, paragraphs before blocks); an end tag
+    does not reach out of a table cell; an inline end tag inside a block waits for the block's end; what a table may not hold
+    goes before it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
-        self.stack: list[dict] = []
-        self.block = self.cell = self.tables = 0
-        self.place: list[list[int]] = []  # table, row, column of the open tables
-
-    def _open(self, tag: str, attrs: dict, text: str | None = None) -> dict:
-        parent = self.stack[-1] if self.stack else None
-        n = len(self.rows)
-        row = {"pre": n, "post": n, "parent_id": parent["pre"] if parent else None, "depth": len(self.stack), "tag": tag, "attrs": attrs, "text": text, "len": 0, "parts": [], "block": self.block, "cell": self.cell, "at": tuple(self.place[-1]) if self.place else (None, None, None), "up": [x["pre"] for x in self.stack[-1:-5:-1]]}
-        self.rows.append(row)
-        return row
-
-    def _close(self) -> None:
-        row = self.stack.pop()
-        row["post"] = len(self.rows) - 1
-        if self.stack:
-            self.stack[-1]["len"] += row["len"]
-            if row["parts"]:
-                self.stack[-1]["parts"] += row["parts"] if self.stack[-1]["tag"] in _WHOLE_TEXT or any(s["tag"] in _WHOLE_TEXT for s in self.stack) else []
-        if row["tag"] in _WHOLE_TEXT:
-            row["text"] = " ".join(" ".join(row["parts"]).split())
-        if row["tag"] == "table" and self.place:
-            self.place.pop()
-        self._boundary(row["tag"])
-
-    def _boundary(self, tag: str) -> None:
-        if tag in V.BLOCK_TAGS:
-            self.block += 1
-        if tag in ("td", "th"):
-            self.cell += 1
+        self.root = _Element("", {})
+        self.stack = [self.root]
+
+    def _add(self, node: _Element) -> None:
+        parent, place = self.stack[-1], None
+        if parent.tag in _NOT_IN_TABLE and node.tag not in _ALLOWED_IN_TABLE and not (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden"):
+            table = next((x for x in reversed(self.stack) if x.tag == "table"), None)
+            if table is not None:
+                parent = table.parent
+                place = max(k for k, x in enumerate(parent.children) if x is table)
+        node.parent = parent
+        parent.children.insert(len(parent.children) if place is None else place, node)
+
+    def _cut(self, depth: int) -> None:
+        del self.stack[depth:]
+        while self.stack[-1].ended:
+            self.stack.pop()
 
     def handle_starttag(self, tag, attrs):
-        while self.stack and self.stack[-1]["tag"] in _ENDS.get(tag, ()):
-            self._close()
-        self._boundary(tag)
-        if tag == "table":
-            self.tables += 1
-            self.place.append([self.tables, 0, 0])
-        elif self.place and tag == "tr":
-            self.place[-1][1] += 1
-            self.place[-1][2] = 0
-        elif self.place and tag in ("td", "th"):
-            self.place[-1][2] += 1
-        row = self._open(tag, {k: v or "" for k, v in attrs})
+        ends, stops = _ENDS.get(tag, ((), ()))
+        found = 0
+        for k in range(len(self.stack) - 1, 0, -1) if ends else ():
+            if self.stack[k].tag in stops:
+                break
+            if self.stack[k].tag in ends:
+                found = k
+        if found:
+            self._cut(found)
+        if tag in _HEADINGS and self.stack[-1].tag in _HEADINGS:
+            self._cut(len(self.stack) - 1)
+        node = _Element(tag, {k: v or "" for k, v in attrs})
+        self._add(node)
         if tag not in _VOID:
-            self.stack.append(row)
+            self.stack.append(node)
 
     def handle_endtag(self, tag):
-        if any(s["tag"] == tag for s in self.stack):
-            while self.stack[-1]["tag"] != tag:
-                self._close()
-            self._close()
+        stops = () if tag == "table" or tag in ("body", "html") else {"table"} if tag in _TABLE_PARTS else {"table"} | _CELLS
+        for k in range(len(self.stack) - 1, 0, -1):
+            node = self.stack[k]
+            if node.tag == tag:
+                if tag in _INLINE and any(x.tag in _BLOCKS for x in self.stack[k + 1 :]):
+                    node.ended = True
+                else:
+                    self._cut(k)
+                return
+            if node.tag in stops:
+                return
 
     def handle_data(self, data):
         if not data.isascii():
             data = unicodedata.normalize("NFKC", data.translate(_NO_ZERO_WIDTH))
-        if data.strip() and not (self.stack and self.stack[-1]["tag"] in _RAW):
-            row = self._open("#text", {}, data)
-            size = len(" ".join(data.split()))
-            row["len"] = size
-            if self.stack:
-                self.stack[-1]["len"] += size
-                self.stack[-1]["parts"].append(data)
-
-    def finish(self) -> list[dict]:
+        if self.stack[-1].tag not in _RAW and data.strip():
+            self._add(_Element("#text", {}, data))
+
+    def finish(self) -> list[tuple]:
         self.close()
-        while self.stack:
-            self._close()
-        return self.rows
+        return _numbered(self.root)
+
+
+def _numbered(root: _Element) -> list[tuple]:
+    """The rows of a tree in document order, as in NODE_SCHEMA without page_id."""
+    rows: list[list] = []
+    pieces: list[str] = []
+    block = cell = tables = 0
+    place: list[list[int]] = []  # table, row, column of the open tables
+    open_rows: list[list] = []
+    work = list(reversed(root.children))
+    while work:
+        node = work.pop()
+        if node is None:  # the end of the last open element
+            row = open_rows.pop()
+            row[4] = len(rows) - 1
+            if open_rows:
+                open_rows[-1][10] += row[10]
+            tag = row[5]
+            if tag in _WHOLE_TEXT:
+                row[9] = " ".join(" ".join(pieces[row[17] :]).split())
+            if tag == "table":
+                place.pop()
+            block += tag in V.BLOCK_TAGS
+            cell += tag in ("td", "th")
+            continue
+        tag, n = node.tag, len(rows)
+        block += tag in V.BLOCK_TAGS
+        cell += tag in ("td", "th")
+        if tag == "table":
+            tables += 1
+            place.append([tables, 0, 0])
+        elif place and tag == "tr":
+            place[-1][1] += 1
+            place[-1][2] = 0
+        elif place and tag in ("td", "th"):
+            place[-1][2] += 1
+        size = len(" ".join(node.text.split())) if tag == "#text" else 0
+        a = node.attrs
+        row = [n, open_rows[-1][0] if open_rows else None, n, len(open_rows), n, tag, a.get("class"), a.get("id"), a, node.text, size, block, cell, *(place[-1] if place else (None, None, None)), [x[0] for x in open_rows[-1:-5:-1]], len(pieces)]
+        rows.append(row)
+        if tag == "#text":
+            pieces.append(node.text)
+            if open_rows:
+                open_rows[-1][10] += size
+        elif tag not in _VOID:
+            open_rows.append(row)
+            work.append(None)
+            work.extend(reversed(node.children))
+    return [(r[0], r[1], r[2], r[4], r[3], *r[5:13], *r[13:16], r[16], [rows[u][4] for u in r[16]]) for r in rows]
 
 
 def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -113,12 +186,9 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
         for batch in batches:
             out = []
             for key, html in zip(batch["page_id"], batch["html"]):
-                parser = _Nodes()
+                parser = _Tree()
                 parser.feed(html or "")
-                rows = parser.finish()
-                for r in rows:
-                    a = r["attrs"]
-                    out.append((key, r["pre"], r["parent_id"], r["pre"], r["post"], r["depth"], r["tag"], a.get("class"), a.get("id"), a, r["text"], r["len"], r["block"], r["cell"], *r["at"], [rows[u]["post"] for u in r["up"]]))
+                out += [(key, *row) for row in parser.finish()]
                 if len(out) > 20_000:
                     yield _frame(out)
                     out = []
@@ -140,16 +210,20 @@ def _page() -> Window:
     return Window.partitionBy("page_id")
 
 
+def _upto_here(order: str = "pre") -> Window:
+    return _page().orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def without_noise(nodes: DataFrame) -> DataFrame:
-    """Nodes outside noise elements. One window per page gathers the page's noise intervals; forms are kept."""
+    """Nodes outside noise elements; forms are kept. Intervals nest, so a node lies in noise if the furthest end of the
+    noise that began before it is not behind it: one running maximum per page."""
     body = F.max(F.when(F.col("tag") == "body", F.col("subtree_len"))).over(_page())
     whole = F.coalesce(body, F.max("subtree_len").over(_page()))
-    structural = F.col("tag").isin(*V.STRUCTURE_NOISE) & (F.col("subtree_len") <= whole * V.STRUCTURE_MAX_RATIO)
+    structural = F.col("tag").isin(*V.STRUCTURE_NOISE) & (F.col("subtree_len") <= F.col("_whole") * V.STRUCTURE_MAX_RATIO)
     marked = F.concat_ws(" ", "cls", "id").rlike(f"(?iu){V.NOISE_ATTR}") & ~F.col("tag").isin("html", "body")
     noise = F.col("tag").isin(*V.ALWAYS_NOISE) | structural | marked
-    spans = F.collect_list(F.when(noise, F.struct("pre", "post"))).over(_page())
-    inside = F.exists("_spans", lambda s: (F.col("pre") >= s["pre"]) & (F.col("pre") <= s["post"]))
-    return nodes.withColumn("_spans", spans).filter(~inside).drop("_spans")
+    reach = F.max(F.when(F.coalesce(noise, F.lit(False)), F.col("post"))).over(_upto_here())
+    return nodes.withColumn("_whole", whole).withColumn("_reach", reach).filter("_reach IS NULL OR _reach < pre").drop("_whole", "_reach")
 
 
 def main_content(nodes: DataFrame) -> DataFrame:
@@ -197,26 +271,54 @@ def table_cells(nodes: DataFrame) -> DataFrame:
     return cells.withColumn("_n", filled).filter("_n > 0").drop("_n")
 
 
+_HEADING = "^h[1-6]$"
+
+
+def section_anchors(nodes: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """page_id, pre, low, high, heading of headings (those that `wanted` is true of) with text behind them: the section is the text in
+    (low, high]. It ends with the next heading, and with the parent of a block heading; an inline heading without text
+    beside it looks in up to three more ancestors.
+
+    What follows an anchor's end is found by one window per page over anchors (placed at their end), headings and texts,
+    from the last to the first.
+    """
+    heading = F.col("tag").rlike(_HEADING)
+    anchors = nodes.filter(heading | F.col("tag").isin("strong", "b", "dt", "span", "em")).withColumn("heading", lower_tr(tidy(F.col("text"))))
+    anchors = anchors.filter("heading <> ''" if wanted is None else wanted)
+    # A block heading reads its parent; an inline one climbs.
+    ends = F.when(heading, F.slice("ends", 1, 1)).otherwise(F.slice("ends", 1, V.CLIMB_LIMIT + 1))
+    none = F.lit(None)
+    places = anchors.select("page_id", F.col("post").alias("at"), F.lit(0).alias("kind"), "pre", "heading", ends.alias("ends"))
+    marks = nodes.filter(heading | (F.col("tag") == "#text")).select(
+        "page_id", F.col("pre").alias("at"), F.when(heading, 1).otherwise(2).alias("kind"), "pre", none.cast("string").alias("heading"), none.cast("array<int>").alias("ends")
+    )
+    # At one place anchors come first, so that nothing at their own end counts as behind it.
+    behind = _page().orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    nearest = lambda k: F.min(F.when(F.col("kind") == k, F.col("at"))).over(behind)
+    seen = places.unionByName(marks).withColumn("_heading", nearest(1)).withColumn("_text", nearest(2)).filter("kind = 0")
+    stop = F.coalesce(F.col("_heading"), F.lit(2**30)) - 1
+    level = F.try_element_at(F.filter("ends", lambda e: e >= F.col("_text")), F.lit(1))
+    held = seen.filter(F.col("_text") <= stop).withColumn("_level", level).filter("_level IS NOT NULL")
+    return held.select("page_id", "pre", F.col("at").alias("low"), F.least("_level", stop).alias("high"), "heading")
+
+
+def joined_texts(anchors: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, body of each anchor: the texts of its interval, those of one block in one line. Anchors meet texts by page."""
+    texts = nodes.filter("tag = '#text'").select("page_id", F.col("pre").alias("at"), F.trim("text").alias("text"), "block")
+    inside = anchors.hint("merge").join(texts, "page_id").filter("at > low AND at <= high")
+    pieces = inside.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "text", "block"))).alias("p"))
+    before = lambda i: F.get("p", i - 1)["block"]
+    glue = lambda t, i: F.when(i == 0, "").when(before(i) == t["block"], " ").otherwise("\n")
+    return pieces.select(*keys, F.array_join(F.transform("p", lambda t, i: F.concat(glue(t, i), t["text"])), "").alias("body"))
+
+
 def section_texts(nodes: DataFrame, keywords: tuple[str, ...], composed: bool = True) -> DataFrame:
-    """page_id, section: text under the first heading that contains a keyword, up to the next heading; an inline
-    heading without text beside it looks in up to three ancestors. The first heading with text wins."""
-    texts = F.array_sort(F.collect_list(F.when(F.col("tag") == "#text", F.struct("pre", "text", "block"))).over(_page()))
-    heads = F.collect_list(F.when(F.col("tag").rlike("^h[1-6]$"), F.col("pre"))).over(_page())
-    framed = nodes.withColumn("_texts", texts).withColumn("_heads", heads)
+    """page_id, section: text under the first heading that contains a keyword, up to the next heading. The first heading
+    with text wins."""
     wanted = "(?U)" + "|".join(f"(?:{k})" for k in keywords)
-    anchors = framed.filter(F.col("tag").rlike("^h[1-6]$") | F.col("tag").isin("strong", "b", "dt", "span", "em")).filter(lower_tr(tidy(F.col("text"))).rlike(wanted))
-    after = F.coalesce(F.array_min(F.filter("_heads", lambda p: p > F.col("post"))), F.lit(2**30))
-    # A block heading reads its parent; an inline one climbs.
-    ends = F.when(F.col("tag").rlike("^h[1-6]$"), F.slice("ends", 1, 1)).otherwise(F.slice("ends", 1, V.CLIMB_LIMIT + 1))
-    taken = F.transform(ends, lambda end: F.filter("_texts", lambda t: (t["pre"] > F.col("post")) & (t["pre"] <= end) & (t["pre"] < after)))
-    first = F.try_element_at(F.filter(taken, lambda a: F.size(a) > 0), F.lit(1))
-    found = anchors.withColumn("_found", first).filter("_found IS NOT NULL")
-    body = F.aggregate(
-        F.col("_found"),
-        F.struct(F.lit("").alias("text"), F.lit(-1).alias("block")),
-        lambda s, t: F.struct(F.concat(s["text"], F.when(s["text"] == "", "").when(s["block"] == t["block"], " ").otherwise("\n"), F.trim(t["text"])).alias("text"), t["block"].alias("block")),
-    )["text"]
-    sections = found.select("page_id", "pre", strip_boilerplate(body, composed).alias("section")).filter("section <> ''")
+    anchors = section_anchors(nodes, F.col("heading").rlike(wanted))
+    bodies = joined_texts(anchors, nodes, ["page_id", "pre"])
+    sections = bodies.select("page_id", "pre", strip_boilerplate(F.col("body"), composed).alias("section")).filter("section <> ''")
     return sections.groupBy("page_id").agg(F.min_by("section", "pre").alias("section"))
 
 
@@ -239,19 +341,20 @@ def catch_all_pages(pages: DataFrame, homes: DataFrame) -> DataFrame:
 
 def table_captions(nodes: DataFrame) -> DataFrame:
     """page_id, table_no, caption: the caption element, else the nearest earlier text of 20 characters that is not a
-    number, among the last 12 texts."""
-    texts = F.array_sort(F.collect_list(F.when(F.col("tag") == "#text", F.struct("pre", "text"))).over(_page()))
-    tables = nodes.withColumn("_texts", texts).filter("tag = 'table'")
-    before = F.filter("_texts", lambda t: t["pre"] < F.col("pre"))
-    last = F.slice(before, F.greatest(F.size(before) - (V.CAPTION_LOOKBACK - 1), F.lit(1)), F.lit(V.CAPTION_LOOKBACK))
-    good = F.filter(F.transform(last, lambda t: tidy(t["text"])), lambda t: (F.length(t) >= V.CAPTION_MIN) & ~t.rlike(r"^[\d.,%\s]+$"))
-    found = tables.select("page_id", F.col("attrs").alias("a"), "pre", "post", F.try_element_at(good, F.lit(-1)).alias("near"))
-    own = nodes.filter("tag = 'caption'").select("page_id", F.col("pre").alias("cpre"), tidy(F.col("text")).alias("own"))
-    own = own.filter("own <> ''")
-    numbered = F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))
-    joined = found.withColumn("table_no", numbered).join(own.hint("merge"), "page_id", "left")
-    inside = F.when((F.col("cpre") > F.col("pre")) & (F.col("cpre") <= F.col("post")), F.col("own"))
-    return joined.groupBy("page_id", "table_no").agg(F.coalesce(F.min_by(inside, F.when(inside.isNotNull(), F.col("cpre"))), F.first("near")).alias("caption"))
+    number, among the last 12 texts. Two windows per page, one looking back for texts and one ahead for captions, that
+    each carry the last one seen."""
+    kept = nodes.filter("tag IN ('#text', 'table', 'caption')").select("page_id", "tag", "pre", "post", tidy(F.col("text")).alias("line"))
+    is_text = F.col("tag") == "#text"
+    good = is_text & (F.length("line") >= V.CAPTION_MIN) & ~F.col("line").rlike(r"^[\d.,%\s]+$")
+    numbered = kept.withColumn("_texts", F.count_if(is_text).over(_upto_here())).withColumn("table_no", F.count_if(F.col("tag") == "table").over(_upto_here()).cast("int"))
+    near = F.last(F.when(good, F.struct("_texts", "line")), ignorenulls=True).over(_upto_here())
+    # Captions between a table's start and its end: the first one behind its start tells.
+    ahead = _page().orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.last(F.when((F.col("tag") == "caption") & (F.col("line") != ""), F.struct("pre", "line")), ignorenulls=True).over(ahead)
+    tables = numbered.withColumn("_near", near).withColumn("_own", own).filter("tag = 'table'")
+    caption = F.when(F.col("_own.pre") <= F.col("post"), F.col("_own.line"))
+    text = F.when(F.col("_texts") - F.col("_near._texts") < V.CAPTION_LOOKBACK, F.col("_near.line"))
+    return tables.select("page_id", "table_no", F.coalesce(caption, text).alias("caption"))
 
 
 def variant_of(caption: Column, composed: bool = True) -> Column:
@@ -309,19 +412,17 @@ def rate_tables(nodes: DataFrame, composed: bool = True) -> DataFrame:
 
 
 def card_labels(nodes: DataFrame, label_class: str, levels: int = 3) -> DataFrame:
-    """page_id, pre (of the anchor), label: the nearest label element among an anchor's cards, up to `levels` up."""
-    labels = nodes.filter(F.array_contains(F.split(F.coalesce("cls", F.lit("")), r"\s+"), label_class)).select("page_id", F.col("pre").alias("lpre"), F.col("text").alias("label"))
-    anchors = nodes.filter("tag = 'a'").select("page_id", "pre", F.slice("ends", 1, levels).alias("ends"), "parent_id")
-    per_page = labels.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("lpre", "label"))).alias("labels"))
-    parents = nodes.select("page_id", F.col("node_id").alias("pid"), F.col("parent_id").alias("gid"))
-    up = anchors.withColumn("level", F.lit(1)).withColumn("anc", F.col("parent_id"))
-    steps = up
-    for level in range(2, levels + 1):
-        moved = up.join(parents.hint("merge"), (up["page_id"] == parents["page_id"]) & (up["anc"] == parents["pid"])).select(up["page_id"], "pre", "ends", "parent_id", F.lit(level).alias("level"), F.col("gid").alias("anc"))
-        steps, up = steps.unionByName(moved), moved
-    hit = F.try_element_at(F.filter("labels", lambda s: (s["lpre"] > F.col("anc")) & (s["lpre"] <= F.try_element_at("ends", F.col("level")))), F.lit(1))
-    found = steps.filter("anc IS NOT NULL").join(per_page.hint("merge"), "page_id").withColumn("label", hit["label"]).filter("label IS NOT NULL")
-    return found.groupBy("page_id", "pre").agg(F.min_by("label", "level").alias("label"))
+    """page_id, pre (of the anchor), label: the first label element of the nearest card around an anchor that has one, up to
+    `levels` up. Cards are the anchor's ancestors, known by where they begin and end. One window per page, from the last
+    node to the first, carries the next label to each card's beginning."""
+    classes = F.split(F.coalesce("cls", F.lit("")), r"\s+")
+    labels = nodes.filter(F.array_contains(classes, label_class)).select("page_id", F.col("pre").alias("at"), F.lit(1).alias("kind"), F.struct("pre", F.col("text").alias("label")).alias("next"))
+    cards = nodes.filter("tag = 'a'").select("page_id", "pre", F.posexplode(F.arrays_zip(F.slice("starts", 1, levels).alias("start"), F.slice("ends", 1, levels).alias("end"))).alias("level", "card"))
+    cards = cards.select("page_id", F.col("card.start").alias("at"), F.lit(0).alias("kind"), "pre", "level", F.col("card.end").alias("end"))
+    behind = _page().orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    seen = cards.unionByName(labels, allowMissingColumns=True).withColumn("next", F.last("next", ignorenulls=True).over(behind))
+    held = seen.filter("kind = 0 AND next.pre <= end")
+    return held.groupBy("page_id", "pre").agg(F.min_by("next.label", "level").alias("label"))
 
 
 def table_texts(nodes: DataFrame) -> DataFrame:
@@ -348,12 +449,8 @@ def campaign_rows(
 
     pages: page_id, url, segment_hint, archive_hint, doc_type; hints and doc_type may be null.
     """
-    from ..functions import urls as U
-    from ..functions.text import first_line
-
     joined = (
         pages.filter(F.coalesce(F.col("doc_type") == "campaign", F.lit(True)))
-        .withColumn("segment", F.coalesce("segment_hint", url_segment))
         .join(titles.filter("title IS NOT NULL AND title <> ''").hint("merge"), "page_id")
         .join(texts.hint("merge"), "page_id", "left")
         .join(conditions.withColumnRenamed("section", "conditions_text").hint("merge"), "page_id", "left")
@@ -361,26 +458,80 @@ def campaign_rows(
         .join(exclusions.withColumnRenamed("section", "exclusions").hint("merge"), "page_id", "left")
     )
     windows = [E.validity_window(E.prepare(F.col(c), composed)) for c in ("period_text", "conditions_text", "clean_text")]
-    chosen = E.first_known_window(*windows)
+    joined = joined.withColumn("window", E.first_known_window(*windows))
+    return joined.select("page_id", *_campaign_columns(F.col("window"), url_segment))
+
+
+SITE_RULES = "site string, field string, keywords array<string>, min_chars int"
+SOURCE_ORDER = "site string, source string, rank int"
+
+
+def site_sections(nodes: DataFrame, sites: DataFrame, rules: DataFrame, composed: bool = True) -> DataFrame:
+    """page_id, field, section: each field's first section by the rules of the page's site. sites: page_id, site. rules
+    (SITE_RULES): headings with one of the keywords (lower case) open the field's section; sections of fewer than min_chars
+    characters are passed over. Anchors are found once for all fields."""
+    anchors = section_anchors(nodes).join(sites.select("page_id", "site").hint("merge"), "page_id")
+    wanted = anchors.join(broadcast_small(rules), "site").filter(F.exists("keywords", lambda k: F.col("heading").contains(k)))
+    bodies = joined_texts(wanted.select("page_id", "field", "pre", "min_chars", "low", "high"), nodes, ["page_id", "field", "pre", "min_chars"])
+    sections = bodies.select("page_id", "field", "pre", "min_chars", strip_boilerplate(F.col("body"), composed).alias("section"))
+    sections = sections.filter((F.col("section") != "") & (F.length("section") >= F.coalesce("min_chars", F.lit(0))))
+    return sections.groupBy("page_id", "field").agg(F.min_by("section", "pre").alias("section"))
+
+
+def site_windows(texts: DataFrame, sites: DataFrame, order: DataFrame, composed: bool = True) -> DataFrame:
+    """page_id, window, source: the validity window of the first source, in the order of the page's site, that has a known
+    one. texts: page_id, source, text. order (SOURCE_ORDER): sources that a site does not list are not asked. Pages
+    without a known window give no row."""
+    ranked = texts.join(sites.select("page_id", "site").hint("merge"), "page_id").join(broadcast_small(order), ["site", "source"])
+    found = ranked.select("page_id", "source", "rank", E.validity_window(E.prepare(F.col("text"), composed)).alias("window")).filter("window.precision <> 'unknown'")
+    best = found.groupBy("page_id").agg(F.min_by(F.struct("window", "source"), "rank").alias("b"))
+    return best.select("page_id", "b.window", "b.source")
+
+
+def site_campaign_rows(pages: DataFrame, nodes: DataFrame, rules: DataFrame, order: DataFrame, url_segment: Column, ignored_titles: tuple[str, ...] = (), composed: bool = True) -> DataFrame:
+    """Campaign rows of pages of many sites, each by its own rules; as campaign_rows otherwise.
+
+    pages: page_id, site, url, segment_hint, archive_hint, doc_type. rules: fields conditions, exclusions, period and, for
+    its min_chars alone, description. order: sources period, conditions and body.
+    """
+    sites = pages.select("page_id", "site")
+    sections = site_sections(nodes, sites, rules.filter("field <> 'description'"), composed)
+    bodies = clean_text(main_content(without_noise(nodes)), composed)
+    named = sections.filter("field IN ('period', 'conditions')").select("page_id", F.col("field").alias("source"), F.col("section").alias("text"))
+    windows = site_windows(named.unionByName(bodies.select("page_id", F.lit("body").alias("source"), F.col("clean_text").alias("text"))), sites, order, composed)
+    wide = sections.groupBy("page_id").agg(*[F.max(F.when(F.col("field") == f, F.col("section"))).alias(c) for f, c in (("conditions", "conditions_text"), ("exclusions", "exclusions"))])
+    least = rules.filter("field = 'description'").groupBy("site").agg(F.max("min_chars").alias("_least"))
+    joined = (
+        pages.filter(F.coalesce(F.col("doc_type") == "campaign", F.lit(True)))
+        .join(page_titles(nodes, ignored_titles, composed).filter("title <> ''").hint("merge"), "page_id")
+        .join(bodies.hint("merge"), "page_id", "left")
+        .join(wide.hint("merge"), "page_id", "left")
+        .join(windows.hint("merge"), "page_id", "left")
+        .join(broadcast_small(least), "site", "left")
+    )
+    return joined.select("page_id", "site", *_campaign_columns(F.col("window"), url_segment, F.coalesce("_least", F.lit(40))), F.col("source").alias("window_source"))
+
+
+def _campaign_columns(window: Column, url_segment: Column, least: Column | int = 40) -> list[Column]:
+    """Columns of a campaign row over url, title, clean_text, conditions_text, exclusions and the hints."""
     part = E.participation(F.coalesce("clean_text", F.lit("")))
-    return joined.select(
-        "page_id",
+    return [
         U.slug(F.col("url")).alias("external_slug"),
-        "title",
-        first_line(F.col("clean_text"), skip=F.array("title")).alias("description"),
-        "conditions_text",
-        "exclusions",
-        "segment",
-        chosen["start"].alias("start_date"),
-        chosen["end"].alias("end_date"),
-        chosen["precision"].alias("date_precision"),
+        F.col("title"),
+        first_line(F.col("clean_text"), least, skip=F.array("title")).alias("description"),
+        F.col("conditions_text"),
+        F.col("exclusions"),
+        F.coalesce("segment_hint", url_segment).alias("segment"),
+        window["start"].alias("start_date"),
+        window["end"].alias("end_date"),
+        F.coalesce(window["precision"], F.lit("unknown")).alias("date_precision"),
         part["method"].alias("participation_method"),
         part["sms_keyword"].alias("sms_keyword"),
         part["sms_number"].alias("sms_number"),
         part["coupon_code"].alias("coupon_code"),
         F.col("url").alias("source_url"),
         (F.coalesce("archive_hint", F.lit(False)) | F.lower(F.col("url")).contains("isarchived=true")).alias("is_archived"),
-    )
+    ]
 
 
 def same_title_prefilter(html: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..operators.query import campaign_status
-from ..session import table
+from ..session import broadcast_small, table
 
 AS_OF = "1998-06-15"
 
@@ -19,7 +19,7 @@ def banks(spark: SparkSession, d: str) -> DataFrame:
 def campaigns(spark: SparkSession, d: str) -> DataFrame:
     """Orders as campaigns: dates go missing with the order's priority, the category with its status."""
     orders, customers, nations = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
-    joined = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).join(F.broadcast(nations), customers["c_nationkey"] == nations["n_nationkey"])
+    joined = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).join(broadcast_small(nations), customers["c_nationkey"] == nations["n_nationkey"])
     start, p = F.to_date("o_orderdate"), F.col("o_orderpriority")
     out = joined.select(
         F.col("o_orderkey").alias("campaign_id"),

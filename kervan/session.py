@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -68,6 +69,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder; the URI's scheme names the file system."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of short rows, counted: to be broadcast up to `most` rows, to be merge-joined beyond."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
