@@ -16,12 +16,19 @@ def _contains_any(c: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 
+def _control_kind() -> Column:
+    return F.when(F.col("tag") == "select", "select").when(F.col("tag") == "textarea", "text").otherwise(F.lower(F.coalesce(F.col("attrs")["type"], F.lit("text"))))
+
+
+def _control_name() -> Column:
+    a = F.col("attrs")
+    return F.coalesce(F.nullif(a["name"], F.lit("")), F.nullif(F.col("id"), F.lit("")), F.nullif(a["data-name"], F.lit("")))
+
+
 def form_controls(nodes: DataFrame) -> DataFrame:
     """page_id, name, kind, pre, node_id, label, min, max, step: one row per named control, each radio
     button being one."""
-    a = F.col("attrs")
-    kind = F.when(F.col("tag") == "select", "select").when(F.col("tag") == "textarea", "text").otherwise(F.lower(F.coalesce(a["type"], F.lit("text"))))
-    name = F.coalesce(F.nullif(a["name"], F.lit("")), F.nullif(F.col("id"), F.lit("")), F.nullif(a["data-name"], F.lit("")))
+    a, name, kind = F.col("attrs"), _control_name(), _control_kind()
     controls = nodes.filter("tag IN ('select', 'input', 'textarea')").select(
         "page_id", "pre", "post", "node_id", "parent_id", F.col("id").alias("html_id"), name.alias("name"), kind.alias("kind"), decimal_tr(a["min"]).alias("min"), decimal_tr(a["max"]).alias("max"), decimal_tr(a["step"]).alias("step"), a["value"].alias("value")
     )
@@ -39,13 +46,52 @@ def control_labels(nodes: DataFrame, controls: DataFrame) -> DataFrame:
     return joined.withColumn("label", F.coalesce("named", nearest)).drop("named", "around")
 
 
+def _form_rows(nodes: DataFrame) -> DataFrame:
+    """Controls and options with, for options, the select around them: selects do not nest, so it is the last one that began,
+    if it has not ended. One window per page."""
+    a = F.col("attrs")
+    rows = nodes.filter("tag IN ('select', 'input', 'textarea', 'option')").select(
+        "page_id", "pre", "post", "tag", _control_name().alias("name"), _control_kind().alias("kind"), a["value"].alias("value"), tidy(F.col("text")).alias("label"), a["min"].alias("min"), a["max"].alias("max")
+    )
+    begun = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owner = F.last(F.when(F.col("tag") == "select", F.struct("post", "name")), ignorenulls=True).over(begun)
+    option = F.col("tag") == "option"
+    rows = rows.withColumn("_owner", owner).withColumn("name", F.when(option, F.when(F.col("_owner.post") >= F.col("pre"), F.col("_owner.name"))).otherwise(F.col("name")))
+    filled = F.col("value").isNull() | (F.trim("value") != "")
+    return rows.filter(F.col("name").isNotNull() & F.when(option, filled).otherwise(~F.col("kind").isin(*V.IGNORED_INPUTS))).withColumn("kind", F.when(option, "option").otherwise(F.col("kind")))
+
+
 def form_options(nodes: DataFrame) -> DataFrame:
     """page_id, name, pre, value, label of the options of each select; placeholders with an empty value are dropped."""
-    selects = form_controls(nodes).filter("kind = 'select'").groupBy("page_id").agg(F.collect_list(F.struct("pre", "post", "name")).alias("selects"))
-    options = nodes.filter("tag = 'option'").select("page_id", "pre", F.col("attrs")["value"].alias("value"), tidy(F.col("text")).alias("label"))
-    owner = F.try_element_at(F.filter("selects", lambda s: (s["pre"] < F.col("pre")) & (F.col("pre") <= s["post"])), F.lit(1))
-    rows = options.join(selects.hint("merge"), "page_id").withColumn("name", owner["name"]).filter("name IS NOT NULL AND (value IS NULL OR trim(value) <> '')")
-    return rows.select("page_id", "name", "pre", F.coalesce("value", "label").alias("value"), "label")
+    return _form_rows(nodes).filter("kind = 'option'").select("page_id", "name", "pre", F.coalesce("value", "label").alias("value"), "label")
+
+
+def form_summary(nodes: DataFrame) -> DataFrame:
+    """page_id, combinations, amount_min, amount_max, allowed_terms of pages with any control or option, in one pass: one
+    exchange by page, on which the window over options and both aggregates run.
+
+    combinations: product of the option and radio counts of each name, a continuous control counting as four points, a
+    checkbox as two; null without any. Amounts: of the first range or number control whose name hints at one. Terms: sorted
+    distinct numbers of the first term-named select that gives any.
+    """
+    kind, ranged = F.col("kind"), F.col("kind").isin("range", "number")
+    number = F.regexp_extract(F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("value")), r"\d+", 0).try_cast("int")
+    rows = _form_rows(nodes).withColumn("number", F.when(kind == "option", number))
+    names = rows.groupBy("page_id", "name").agg(
+        F.count_if(kind == "option").alias("options"), F.count_if(kind == "radio").alias("radios"), F.bool_or(ranged).alias("ranged"), F.bool_or(kind == "checkbox").alias("checked"),
+        F.min(F.when(F.col("number").isNotNull(), F.col("pre"))).alias("first_term"), F.array_sort(F.collect_set("number")).alias("terms"),
+        F.min(F.when(ranged, F.struct("pre", "min", "max"))).alias("range"),
+    )
+    factor = lambda c: F.greatest(F.col(c), F.lit(1))
+    points = factor("options") * factor("radios") * F.when(F.col("ranged"), V.GRID_POINTS).otherwise(1) * F.when(F.col("checked"), 2).otherwise(1)
+    counted = (F.col("options") > 0) | (F.col("radios") > 0) | F.col("ranged") | F.col("checked")
+    product = F.aggregate(F.collect_list(F.when(counted, points)), F.lit(1).cast("decimal(38,0)"), lambda x, n: (x * n).cast("decimal(38,0)"))
+    term = _hinted(F.col("name"), V.TERM_HINTS) & F.col("first_term").isNotNull()
+    amount = _hinted(F.col("name"), V.AMOUNT_HINTS) & F.col("range").isNotNull()
+    pages = names.groupBy("page_id").agg(
+        F.when(F.bool_or(counted), product).alias("combinations"), F.min(F.when(amount, F.col("range"))).alias("amount"), F.min_by("terms", F.when(term, F.col("first_term"))).alias("allowed_terms")
+    )
+    return pages.select("page_id", "combinations", decimal_tr(F.col("amount.min")).alias("amount_min"), decimal_tr(F.col("amount.max")).alias("amount_max"), "allowed_terms")
 
 
 def variant_fields(options: DataFrame) -> DataFrame:
@@ -71,15 +117,8 @@ def variant_candidates(options: DataFrame, composed: bool = True) -> DataFrame:
 
 
 def combination_counts(nodes: DataFrame) -> DataFrame:
-    """page_id, combinations: product of option counts, each continuous control counting as four points; 0 without any."""
-    options = form_options(nodes).groupBy("page_id", "name").agg(F.count("*").alias("n"))
-    controls = form_controls(nodes)
-    radios = controls.filter("kind = 'radio'").groupBy("page_id", "name").agg(F.count("*").alias("n"))
-    ranges = controls.filter("kind IN ('range', 'number')").select("page_id", "name").distinct().withColumn("n", F.lit(V.GRID_POINTS).cast("long"))
-    checks = controls.filter("kind = 'checkbox'").select("page_id", "name").distinct().withColumn("n", F.lit(2).cast("long"))
-    axes = options.unionByName(radios).unionByName(ranges).unionByName(checks).filter("n > 0")
-    product = F.aggregate(F.collect_list("n"), F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
-    return axes.groupBy("page_id").agg(product.alias("combinations"))
+    """page_id, combinations of pages with any; see form_summary."""
+    return form_summary(nodes).filter("combinations IS NOT NULL").select("page_id", "combinations")
 
 
 def sampling_decision(combinations: Column, mechanism: Column) -> Column:
@@ -93,18 +132,13 @@ def _hinted(name: Column, hints: tuple[str, ...]) -> Column:
 
 
 def amount_bounds(nodes: DataFrame) -> DataFrame:
-    """page_id, amount_min, amount_max of the first range or number control whose name hints at an amount."""
-    controls = form_controls(nodes).filter(F.col("kind").isin("range", "number") & _hinted(F.col("name"), V.AMOUNT_HINTS))
-    best = controls.groupBy("page_id").agg(F.min_by(F.struct("min", "max"), "pre").alias("b"))
-    return best.select("page_id", F.col("b.min").alias("amount_min"), F.col("b.max").alias("amount_max"))
+    """page_id, amount_min, amount_max of pages with an amount control; see form_summary."""
+    return form_summary(nodes).filter("amount_min IS NOT NULL OR amount_max IS NOT NULL").select("page_id", "amount_min", "amount_max")
 
 
 def allowed_terms(nodes: DataFrame) -> DataFrame:
-    """page_id, allowed_terms: sorted distinct numbers of the first term-named select that gives any."""
-    number = F.regexp_extract(F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("value")), r"\d+", 0).try_cast("int")
-    options = form_options(nodes).filter(_hinted(F.col("name"), V.TERM_HINTS)).withColumn("n", number).filter("n IS NOT NULL")
-    per = options.groupBy("page_id", "name").agg(F.min("pre").alias("first"), F.array_sort(F.collect_set("n")).alias("terms"))
-    return per.groupBy("page_id").agg(F.min_by("terms", "first").alias("allowed_terms"))
+    """page_id, allowed_terms of pages with any; see form_summary."""
+    return form_summary(nodes).filter("allowed_terms IS NOT NULL").select("page_id", "allowed_terms")
 
 
 def legal_notice(text: Column, composed: bool = True) -> Column:

@@ -10,12 +10,14 @@ from __future__ import annotations
 import re
 from decimal import Decimal
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions import vocabulary as V
 from ..functions.text import ascii_fold, fold_literal, lower_tr, normalize_text, tidy
+from ..session import remove_folder
 
 RULE_SCHEMA = "axis string, value string, source string, confidence decimal(4,3), scope string, priority int, word string"
 LABEL_SCHEMA = ["campaign_id", "axis", "value", "source", "confidence", "evidence", "seq"]
@@ -101,6 +103,36 @@ def write_labels(labels: DataFrame, path: str, partition: str = "bank_code") ->
     labels.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def _stored_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """bank_code, folder of each stored partition, from the names of its files."""
+    try:
+        stored = spark.read.schema("value string, bank_code string").parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "bank_code string, folder string")
+    return stored.select("bank_code", F.regexp_replace("_metadata.file_path", "/[^/]+$", "").alias("folder")).distinct()
+
+
+def relabel(campaigns: DataFrame, path: str, bank_code: str | None = None, rules: list[tuple] | None = None, composed: bool = False) -> DataFrame:
+    """Labels the campaigns (with bank_code) anew, all or those of one bank, and replaces what is stored under path; returns
+    the new labels. Labels of rules that are gone go, those of banks that have no campaign any more too; other banks' files
+    stay as they are."""
+    spark = campaigns.sparkSession
+    if bank_code is not None:
+        campaigns = campaigns.filter(F.col("bank_code") == bank_code)
+    named = campaigns.select(F.col("campaign_id").alias("_id"), "bank_code")
+    labels = categorise(campaigns, rules, composed)
+    labels = labels.join(named.hint("merge"), labels["campaign_id"] == named["_id"]).drop("_id")
+    write_labels(labels, path)
+    asked = _stored_partitions(spark, path).filter(F.lit(True) if bank_code is None else F.col("bank_code") == bank_code)
+    # A dynamic overwrite leaves partitions without new rows, so those of the banks asked for are removed by name.
+    left = campaigns.select(F.col("bank_code").alias("_bank")).distinct()
+    for row in asked.join(left.hint("merge"), F.col("bank_code").eqNullSafe(F.col("_bank")), "left_anti").collect():
+        remove_folder(spark, row["folder"])
+    return spark.read.schema(labels.schema).parquet(path).filter(F.lit(True) if bank_code is None else F.col("bank_code") == bank_code)
+
+
 def label_summary(labels: DataFrame) -> DataFrame:
     """section, key, n: counts by axis, source and axis/value in one pass of grouping sets."""
     grouped = labels.groupingSets([["axis"], ["source"], ["axis", "value"]], "axis", "source", "value").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))

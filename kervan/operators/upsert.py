@@ -97,11 +97,12 @@ def seed_dimension(stored: DataFrame, seed: DataFrame, keys: list[str]) -> DataF
 
 
 def prune_dimension(stored: DataFrame, seed: DataFrame, facts: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, warnings): rows that left the seed go unless facts still refer to them; those are kept and reported."""
-    stale = stored.join(seed.select(key), key, "left_anti")
-    held = stale.join(facts.select(key), key, "left_semi")
-    gone = stale.join(facts.select(key), key, "left_anti")
-    return stored.join(gone.select(key), key, "left_anti"), held
+    """(kept rows, warnings): rows that left the seed go unless facts still refer to them; those are kept and reported.
+    Both results come from one table of marked rows, in which facts are reduced to their keys."""
+    mark = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    marked = stored.join(mark(seed, "_in_seed"), key, "left").join(mark(facts, "_used"), key, "left")
+    kept = marked.filter("_in_seed OR _used")
+    return kept.select(stored.columns), kept.filter("_in_seed IS NULL").select(stored.columns)
 
 
 def snapshot_rows(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries and their reference SQL."""
 
-from . import extraction, offers, web
+from . import extraction, jobs, offers, web
 
-QUERIES: dict = {**web.QUERIES, **extraction.QUERIES, **offers.QUERIES}
-ORACLE: dict = {**web.ORACLE, **extraction.ORACLE, **offers.ORACLE}
+QUERIES: dict = {**web.QUERIES, **extraction.QUERIES, **offers.QUERIES, **jobs.QUERIES}
+ORACLE: dict = {**web.ORACLE, **extraction.ORACLE, **offers.ORACLE, **jobs.ORACLE}

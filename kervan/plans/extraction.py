@@ -224,8 +224,7 @@ def form_variants(s, d):
 
 def form_sampling(s, d):
     ship_package(s)
-    n = _nodes(_part_pages(s, d))
-    c = M.combination_counts(n).join(M.allowed_terms(n).hint("merge"), "page_id", "left").join(M.amount_bounds(n).hint("merge"), "page_id", "left")
+    c = M.form_summary(P.page_nodes(_part_pages(s, d)))
     return c.select("page_id", F.col("combinations").cast("long").alias("combinations"), M.sampling_decision(F.col("combinations"), F.lit("api")).alias("decision"), F.array_join("allowed_terms", ",").alias("terms"), _double(F.col("amount_min")).alias("amount_min"), _double(F.col("amount_max")).alias("amount_max"))
 
 
@@ -242,12 +241,15 @@ def calculator_mechanisms(s, d):
 
 
 def card_labels(s, d):
-    """A listing per nation: each customer segment's card has its category beside the link."""
+    """A listing per customer of two cards, each with its category beside the link, and a link outside, for which all
+    of the main part is a card."""
     ship_package(s)
-    c = table(s, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-    card = F.concat(F.lit('<div class="card"><span class="etiket">'), "c_mktsegment", F.lit('</span><div><p><a href="/kampanya/'), F.lower("c_mktsegment"), F.lit('">git</a></p></div></div>'))
-    pages = c.groupBy(F.col("c_nationkey").cast("long").alias("page_id")).agg(F.concat(F.lit("<html><body><main>"), F.array_join(F.array_sort(F.collect_list(card)), ""), F.lit("</main></body></html>")).alias("html"))
-    return P.card_labels(_nodes(pages), "etiket").groupBy("label").agg(F.count("*").alias("n"))
+    c = table(s, d, "customer")
+    key = F.col("c_custkey").cast("string")
+    card = lambda label, at: F.concat(F.lit('<div class="card"><span class="x etiket">'), label, F.lit(f'</span><div><p><a href="/{at}/'), key, F.lit('">git</a></p></div></div>'))
+    html = F.concat(F.lit("<html><body><main>"), card(F.col("c_mktsegment"), "a"), card(F.concat(F.lit("Ulus "), F.col("c_nationkey").cast("string")), "b"), F.lit('<a href="/">dışarıda</a></main></body></html>'))
+    labels = P.card_labels(P.page_nodes(c.select(F.col("c_custkey").alias("page_id"), html.alias("html"))), "etiket")
+    return labels.select("page_id", "pre", "label")
 
 
 def campaign_page_rows(s, d):
@@ -325,5 +327,5 @@ ORACLE = {
     "form_variants": "SELECT p_partkey AS page_id, o.l AS label, o.k AS variant_key, o.d AS dimension FROM (SELECT p_partkey, unnest([{'l': 'Sıfır Konut', 'k': 'sifir_konut', 'd': 'konut_durumu'}, {'l': '2. El Araç', 'k': 'ikinci_el_arac', 'd': 'arac_durumu'}, {'l': p_name, 'k': NULL, 'd': NULL}]) AS o FROM part)",
     "legal_notices": "SELECT p_partkey AS page_id, 'Sonuçlar bilgi amaçlıdır.' AS notice FROM part",
     "calculator_mechanisms": "WITH c AS (SELECT user_id AS page_id, count(*) FILTER (event_type = 'error') < 2 AS tried, count(*) FILTER (event_type = 'signup') AS n, count(*) FILTER (event_type = 'click' AND value > 50) AS i, count(*) FILTER (event_type = 'view' AND value > 50) AS l FROM events GROUP BY 1) SELECT page_id, CASE WHEN NOT tried THEN 'unknown' WHEN i > 0 THEN 'api' WHEN l > 0 THEN 'js_with_rate_fetch' WHEN n > 0 THEN 'js_client_side' ELSE 'none' END AS mechanism FROM c",
-    "card_labels": "SELECT c_mktsegment AS label, count(DISTINCT c_nationkey) AS n FROM customer GROUP BY 1",
+    "card_labels": "SELECT c_custkey AS page_id, CAST(unnest([8, 15, 17]) AS INTEGER) AS pre, unnest([c_mktsegment, 'Ulus ' || c_nationkey, c_mktsegment]) AS label FROM customer",
 }

@@ -75,11 +75,15 @@ def sitemap_filter(s, d):
 
 
 def sitemap_roundtrip(s, d):
-    """Sitemaps rendered per site from its pages, read back."""
-    p = _pages(s, d).select(U.bare_host(F.col("url")).alias("site"), "page_id", F.replace("url", F.lit("&"), F.lit("&amp;")).alias("u"))
-    docs = p.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "u"))), lambda x: F.concat(F.lit("<url><loc> "), x["u"], F.lit(" </loc></url>"))), "").alias("body"))
-    xml = docs.select("site", F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="s">'), "body", F.lit("</urlset>")).alias("xml"))
-    return A.sitemap_entries(xml, "site", "xml").select("site", "seq", "loc", "is_index")
+    """Sitemaps rendered per site and 50 000 pages, with an index of each site's files, read back."""
+    p = _pages(s, d).select(U.bare_host(F.col("url")).alias("site"), F.floor(F.col("page_id") / 50_000).alias("file"), "page_id", F.replace("url", F.lit("&"), F.lit("&amp;")).alias("u"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "u"))), lambda x: F.concat(F.lit("<url><loc> "), x["u"], F.lit(" </loc></url>"))), "")
+    files = p.groupBy("site", "file").agg(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="s">'), body, F.lit("</urlset>")).alias("xml"))
+    path = F.concat("site", F.lit("/"), F.col("file").cast("string"))
+    listed = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<n:sitemap><n:loc>https://"), path, F.lit("</n:loc><n:lastmod>2026-01-01</n:lastmod></n:sitemap>")))), "")
+    indexes = p.select("site", "file").distinct().groupBy("site").agg(F.concat(F.lit('<!-- x --><n:sitemapindex xmlns:n="s">'), listed, F.lit("</n:sitemapindex>")).alias("xml"))
+    documents = files.select(path.alias("path"), "xml").unionByName(indexes.select(F.col("site").alias("path"), "xml"))
+    return A.sitemap_entries(documents, "path", "xml").select("path", "seq", "loc", "lastmod", "is_index")
 
 
 def robots_sitemaps(s, d):
@@ -238,7 +242,7 @@ ORACLE = {
     "discovery_merge": f"WITH {_U}, b AS (SELECT page_key AS k, page_id, CASE WHEN starts_with(url, 'https:') THEN 1 ELSE 0 END AS source_priority FROM keyed) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY source_priority, page_id) = 1",
     "prefix_rank_dedupe": f"WITH {_U}, r AS (SELECT parts[-1] AS slug, page_id, CASE WHEN contains(lower(path), '/en/') THEN 0 WHEN contains(lower(path), '/de/') THEN 1 WHEN contains(lower(path), '/fr/') THEN 2 ELSE 3 END AS prefix_rank FROM k WHERE len(parts) > 0) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY slug ORDER BY prefix_rank, page_id) = 1",
     "sitemap_filter": f"WITH {_U} SELECT page_id, page_key FROM keyed WHERE host = 'blog.tionsh.example.net' AND contains(lower(path), '/en/') QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY page_id) = 1",
-    "sitemap_roundtrip": f"WITH {_U} SELECT host AS site, CAST(row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS INTEGER) AS seq, url AS loc, false AS is_index FROM u",
+    "sitemap_roundtrip": f"WITH {_U}, f AS (SELECT *, host || '/' || (page_id // 50000) AS fp FROM u) SELECT fp AS path, CAST(row_number() OVER (PARTITION BY fp ORDER BY page_id) - 1 AS INTEGER) AS seq, url AS loc, CAST(NULL AS VARCHAR) AS lastmod, false AS is_index FROM f UNION ALL SELECT host, CAST(row_number() OVER (PARTITION BY host ORDER BY fp) - 1 AS INTEGER), 'https://' || fp, '2026-01-01', true FROM (SELECT DISTINCT host, fp FROM f)",
     "robots_sitemaps": f"WITH {_U} SELECT page_key, page_id FROM keyed QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY page_id) = 1",
     "page_nodes_count": "SELECT page_id, CAST(len(regexp_extract_all(h, '<a[ >]')) AS BIGINT) AS links, CAST(len(regexp_extract_all(h, '<li[ >]')) AS BIGINT) AS items, CAST(len(regexp_extract_all(h, '<h1[ >]')) AS BIGINT) AS headings FROM (SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gs'), '<!--.*?-->', '', 'gs') AS h FROM pages)",
     "soft_404_pages": "WITH t AS (SELECT page_id, lower(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) AS title, " + _BARE.format("regexp_replace(html, '<title>.*?</title>', '', 'gs')") + " AS body FROM pages) SELECT page_id, body = '' OR regexp_matches(title, '\\b404\\b|sayfa bulunamadı|page not found') OR regexp_matches(lower(substring(body, 1, 2000)), 'aradığınız sayfa.{0,30}(bulunamadı|yok)|sayfa bulunamadı|böyle bir sayfa (yok|bulunmuyor)|aradığınız içeriğe ulaşılamadı|page not found|error 404') AS is_soft_404 FROM t",

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import urls as U
 from ..functions import vocabulary as V
 from ..operators.discovery import dedupe_urls
+from ..session import staged
 
 
 def read_page_archive(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
@@ -56,11 +58,34 @@ def sitemap_entries(documents: DataFrame, id_col: str = "path", xml_col: str = "
 
 
 def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of every sitemap file under a path; index rows can be fetched and read again."""
+    """Entries of every sitemap file under a path."""
     files = spark.read.format("binaryFile").load(path).select("path", unpacked_text(F.col("content")).alias("xml"))
     return sitemap_entries(files)
 
 
+def expand_sitemaps(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """page_key, loc, lastmod, sitemap_key, depth of every page that the root sitemaps lead to, once; the least deep
+    sitemap that holds it wins, then the smallest, then the first place.
+
+    files: url, xml (archived sitemaps, plain text; several copies of a URL all count). roots: url. Each file is parsed
+    once. Index entries form edges, and a frontier of sitemaps moves along them until it finds none that was not reached
+    before, so cycles end. Each round is written. Sitemaps that are not archived lead nowhere.
+    """
+    entries = sitemap_entries(files.select(U.canonical_key(F.col("url")).alias("sitemap_key"), "xml"), "sitemap_key", "xml")
+    entries = staged(entries.withColumn("page_key", U.canonical_key(F.col("loc"))), "sitemap_entries")
+    edges = staged(entries.filter("is_index").select(F.col("sitemap_key").alias("_from"), F.col("page_key").alias("sitemap_key")).distinct(), "sitemap_edges")
+    frontier = staged(roots.select(U.canonical_key(F.col("url")).alias("sitemap_key")).distinct().withColumn("depth", F.lit(0)), "sitemap_frontier")
+    reached = frontier
+    while not frontier.isEmpty():
+        steps = frontier.select(F.col("sitemap_key").alias("_from"), (F.col("depth") + 1).alias("depth")).join(edges, "_from")
+        fresh = steps.select("sitemap_key", "depth").distinct().join(reached.select("sitemap_key"), "sitemap_key", "left_anti")
+        frontier = staged(fresh, "sitemap_frontier")
+        reached = reached.unionByName(frontier)
+    pages = entries.filter("NOT is_index").join(reached, "sitemap_key")
+    best = F.min(F.struct("depth", "sitemap_key", "seq", "loc", "lastmod"))
+    return pages.groupBy("page_key").agg(best.alias("b")).select("page_key", "b.loc", "b.lastmod", "b.sitemap_key", "b.depth")
+
+
 def sitemap_lines(robots: DataFrame, text_col: str = "value", seq_col: str = "seq") -> DataFrame:
     """URLs of the Sitemap: lines of robots files, first spelling of each; foreign hosts are allowed."""
     found = robots.select(F.trim(F.regexp_extract(text_col, r"(?i)^\s*sitemap:\s*(\S+)", 1)).alias("url"), seq_col).filter("url <> ''")
