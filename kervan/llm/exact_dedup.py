@@ -1,7 +1,7 @@
 """Exact dedup: tree-merge of sorted digest runs, DataFrame operations only.
 
-Every document belongs to a run (a hash of its id). Each run is sorted by digest and reduced to one row per
-digest. In binomial rounds, `fan_in` neighbouring runs exchange and merge their rows, keeping for each digest the
+Every document belongs to a run (its input partition, so neither ids nor texts can make one run large). Each run is reduced
+to one row per digest. In binomial rounds, `fan_in` neighbouring runs exchange and merge their rows, keeping for each digest the
 identifier that stays and the number of copies. A digest matches only if the SHA-256, the byte length and a second,
 independent hash agree. The verdict then walks the same tree down, so a text that a third of all rows share never
 meets in one task: a task sees at most `fan_in` rows of a digest per run.
@@ -40,9 +40,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.unhex(F.sha2("_text", 256)).alias("_digest"),
         F.octet_length("_text").cast("long").alias("_bytes"),
         F.xxhash64("_text").alias("_check"),
-        F.pmod(F.xxhash64(F.lit("run"), "_id"), F.lit(runs)).alias("_run"),
+        (F.spark_partition_id() % runs).alias("_run"),
     )
-    keyed = stage(keyed.repartition("_run").sortWithinPartitions("_run", *KEY), "digest_runs")
+    keyed = stage(keyed.sortWithinPartitions(*KEY), "digest_runs")
 
     levels = [stage(keyed.groupBy(*KEY, "_run").agg(best("_id").alias("_keep"), F.count("*").alias("_size")), "level0")]
     for r in range(1, rounds + 1):

@@ -4,7 +4,8 @@ Texts become token pieces of at most `capacity`. Each partition (a bounded numbe
 decreasing; dual-feasible functions over its lengths give a lower bound on its bins, and a partition that meets the
 bound is certified. Open bins (of partitions with a gap, and the emptiest of the others) give their documents to the
 next round, where they are dealt anew over fewer partitions and packed again, until the bins of all partitions meet
-the bound of the whole table or a round gains nothing.
+the bound of the whole table or a round gains nothing. Every round but the last saves a bin at least, so they end; there is
+no other limit. The gap of a sequence says how many bins its partition has above its bound: 0 is a certificate.
 
 Defined results: null text counts as empty and holds only the end id; repeated rows and ids are packed one by one; an
 empty table gives an empty result. Sequence ids are unique, not consecutive.
@@ -12,6 +13,7 @@ empty table gives an empty result. Sequence ids are unique, not consecutive.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from bisect import bisect_left, insort
 
@@ -26,7 +28,6 @@ from .tokenizing import sub_batches, worker_pieces
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, free long, bound long"
 PARTITION_PIECES = 1 << 16
-MAX_ROUNDS = 8
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +109,7 @@ def _pack(capacity: int, round_no: int):
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = rows.column("length").to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
-        base = (round_no << 56) | (TaskContext.get().partitionId() << 28)
+        base = (round_no << 52) | (TaskContext.get().partitionId() << 28)
         bound = np.full(len(bins), len(free) - lower_bound(lengths, capacity))
         extra = {"sequence_id": base + bins, "offset": offsets, "free": free[bins], "bound": bound}
         for name, values in extra.items():
@@ -119,11 +120,11 @@ def _pack(capacity: int, round_no: int):
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """Adds sequence_id and offset to staged pieces."""
+    """Adds sequence_id, offset and gap to staged pieces."""
     total = pieces.agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.count_if(F.col("length") > capacity // 2).alias("large")).first()
     target = max(-(-(total["tokens"] or 0) // capacity), total["large"] or 0)
     sealed, pool, n, used = [], pieces, total["n"], None
-    for round_no in range(MAX_ROUNDS):
+    for round_no in itertools.count():
         parts = max(1, -(-n // PARTITION_PIECES))
         packed = stage(pool.repartition(parts).mapInArrow(_pack(capacity, round_no), PACKED_SCHEMA), f"packed{round_no}")
         # A bin is open if it could take a typical short document, or if its partition is not certified and it has any space.
@@ -137,7 +138,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         sealed_bins = (before or {}).get("sealed", 0)
         used = {"all": sealed_bins + (sums["bins"] or 0), "sealed": sealed_bins + (sums["bins"] or 0) - (sums["open_bins"] or 0)}
         done = used["all"] <= target or parts == 1 or not sums["open"] or (before is not None and used["all"] >= before["all"])
-        if done or round_no == MAX_ROUNDS - 1:
+        if done:
             # A round that gained nothing still is a whole packing of its pool.
             sealed.append(packed)
             break
@@ -146,10 +147,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     out = sealed[0]
     for more in sealed[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.col("bound").alias("gap"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap."""
     pieces = stage(token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "pieces")
     return pack_pieces(pieces, capacity)

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_words import _power, mix64
-from .common import flat_bytes, shuffle_partitions, stage, text_or_empty
+from ..session import remove_folder
+from .common import flat_bytes, new_path, shuffle_partitions, stage, text_or_empty
 
 SEED = 24
 CHUNK_BYTES = 2 << 20
@@ -199,10 +200,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = content.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     chunks = max(parts, -(-total // CHUNK_BYTES))
     buckets = max(2 * parts, -(-total // RANGE_BYTES))
-    content = content.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    # Rows without an id, of which none loses a byte, are dealt by their texts.
+    content = content.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).cast("int"))
 
     name = f"kervan_spans_{uuid.uuid4().hex}"
-    content.repartition(parts, "chunk").write.format("parquet").option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(name)
+    path = new_path(spark, name)
+    content.repartition(parts, "chunk").write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, "chunk").saveAsTable(name)
     texts = spark.table(name)
 
     def ask_seeds(batches):
@@ -326,6 +329,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return stage(with_texts(ranked.unionByName(smaller)).applyInArrow(remove, RESULT_SCHEMA), "span_results")
     finally:
         spark.sql(f"DROP TABLE {name}")
+        remove_folder(spark, path)
 
 
 def _seed_asks(seeds: list[np.ndarray], owners: list[np.ndarray], buckets: int):

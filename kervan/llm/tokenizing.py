@@ -197,6 +197,8 @@ class Pieces:
         """The ids of all texts, end to end, and the n + 1 offsets of the texts."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = np.asarray(pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False), bool)
+        if self.kind == "sp":  # its own mark for a space may join the pieces on both sides of one
+            odd = odd | np.asarray(pc.match_substring(texts, "▁").to_numpy(zero_copy_only=False), bool)
         if not self.cuttable:
             odd[:] = True
         flat, counts = self._cut(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
