@@ -3,7 +3,7 @@
 A text is cut only where the tokenizer itself always separates (before a single space or line feed that stands
 between non-space characters), a batch's pieces are dictionary-coded in Arrow, and only pieces that this Python worker
 has not met are given to the tokenizer library. The ids of a text are then gathered with numpy. Texts with runs of
-spaces, or with white space other than space and line feed, go to the library whole.
+spaces, with white space beside one, or with SentencePiece's own mark for a space go to the library whole.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ LINE_WORDS = 512
 _IRREGULAR = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}][ \n]|[ \n][\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}]|^[ \n]|[ \n]$|\x00"
 # What the two JSON tokenizers' own split patterns separate: a piece is taken apart along these before it is looked up.
 # Pieces are split many at a time, with a zero character between them, which no piece holds.
-_WORDS = regex.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x00]+|\s+(?!\S)|\s+")
+_WORDS = regex.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x00]+|\s+(?![^\s\x00])|\s+")
 
 _WORKER: dict[str, "Pieces"] = {}
 
