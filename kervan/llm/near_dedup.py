@@ -14,8 +14,8 @@ Banding: `bands` groups of `rows` coordinates are hashed and documents with an e
 document is first compared with one candidate, the smallest head (smallest member) over all its buckets, which settles
 most of them whatever the number of bands. Documents that are not in the component of all their heads are then compared
 with those other heads. In buckets that still span several components, each member outside the head's component is
-compared with every member of another component, so that no link inside a bucket is missed; large buckets are cut into
-blocks for it. Every compared pair is verified exactly on its shingles. Equal texts are reduced to one representative
+compared with every member of another component, so that no link inside a bucket is missed; of large buckets only members
+that share a unit of their prefix with another component stay (see contested), and what is left is cut into blocks. Every compared pair is verified exactly on its shingles. Equal texts are reduced to one representative
 before, and joined back at the end.
 
 Defined results: texts without a word (null, empty, blank) form no group unless their normalised texts are equal;
@@ -43,6 +43,8 @@ SUB_BATCH = 512 << 10
 TILE = 4 << 20
 #: A bucket with more units of weight than this is compared in blocks of about this size.
 BLOCK_UNITS = 1 << 20
+#: Units are ordered by their counts on 2^ORDER_BITS places.
+ORDER_BITS = 20
 #: Members that one copy of their head is sent along with.
 SECTION_MEMBERS = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -143,8 +145,14 @@ def shingle_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return stage(sets, "shingle_sets")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The staged pairs (head a, member b) whose weighted Jaccard similarity on shingles is at least the threshold.
+def wanted_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of sets whose id is in ids (want)."""
+    return small_join(sets, stage(ids.distinct(), "wanted").withColumnRenamed("want", "id"), "id", "left_semi")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The staged pairs (head a, member b) whose weighted Jaccard similarity on shingles is at least the threshold. sets: id,
+    units of all that are in a pair, and no more than a few others.
 
     A head's members are dealt to sections of about SECTION_MEMBERS, each of which gets one copy of the head; a section's
     rows lie behind each other in a task, the head first, so a task holds one head and one Arrow batch.
@@ -169,7 +177,6 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    sets = shingle_sets(texts, pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))))
     heads = stage(pairs.groupBy("a").agg(F.ceil(F.count("*") / SECTION_MEMBERS).alias("sections")), "near_heads")
     dealt = small_join(pairs, heads, "a").select("a", "b", F.pmod(F.xxhash64("b"), "sections").alias("section"))
     members = dealt.join(sets.select(F.col("id").alias("b"), "units").hint("merge"), "b").select("a", "b", "section", F.lit(False).alias("leads"), "units")
@@ -234,7 +241,62 @@ def _labelled(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
     return rows.withColumn("mine", F.coalesce("_mine", "id")).withColumn("its", F.coalesce("_its", "head"))
 
 
-def rest_links(buckets: DataFrame, parts: DataFrame | None, texts: DataFrame, threshold: float) -> DataFrame | None:
+def _order_counts(sets: DataFrame) -> np.ndarray:
+    """How often units fall on each of 2^ORDER_BITS places: 8 MB, whatever the number of sets."""
+
+    def count(batches):
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            units = np.frombuffer(flat_bytes(batch.column(0))[0].tobytes(), np.uint64)
+            total += np.bincount((units >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.record_batch([pa.array(at[k : k + (1 << 16)]), pa.array(total[at[k : k + (1 << 16)]])], ["place", "n"])
+
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    summed = sets.select("units").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    for row in summed.toLocalIterator():
+        counts[row["place"]] = row["n"]
+    return counts
+
+
+def contested(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The ids of members (id, label; one row each) that may have a link to another label, by prefix filtering.
+
+    Units stand in one order for all sets, rare ones first. A set x linked to one of at most its size, y, shares
+    threshold * |x| units with it, and 2 * threshold / (1 + threshold) * |y|. So among the first |x| - threshold * |x| + 1
+    units of x there is one of the first |y| - 2 * threshold / (1 + threshold) * |y| + 1 of y, its core. What a family of
+    texts has in common is in no core as long as its members differ in more units than that. The order is by counts of
+    hashed places; any order is exact.
+    """
+    counts = members.sparkSession.sparkContext.broadcast(_order_counts(sets))
+    most = lambda share, n: n - math.ceil(share * n - 1e-9) + 1
+
+    def prefixes(batches):
+        for batch in batches:
+            ids, labels, parts, cores = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], []
+            for i in range(batch.num_rows):
+                units = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+                order = np.lexsort((units, counts.value[(units >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))
+                parts.append(units[order[: most(threshold, len(units))]].view(np.int64))
+                cores.append(np.arange(len(parts[-1])) < most(2 * threshold / (1 + threshold), len(units)))
+            sizes = [len(x) for x in parts]
+            flat, core = (np.concatenate(parts), np.concatenate(cores)) if parts else (np.zeros(0, np.int64), np.zeros(0, bool))
+            ids, labels = np.repeat(ids, sizes), np.repeat(labels, sizes)
+            for k in range(0, len(flat), 1 << 18):
+                at = slice(k, k + (1 << 18))
+                yield pa.record_batch([pa.array(ids[at]), pa.array(labels[at]), pa.array(flat[at]), pa.array(core[at])], ["id", "label", "unit", "core"])
+
+    held = members.join(sets.hint("merge"), "id").select("id", "label", "units").mapInArrow(prefixes, "id long, label long, unit long, core boolean")
+    held = stage(held, "unit_prefixes")
+    core = F.when(F.col("core"), F.col("label"))
+    shared = held.groupBy("unit").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(core).alias("core_low"), F.max(core).alias("core_high"))
+    shared = stage(shared.filter("low <> high AND core_low IS NOT NULL").select("unit", "core_low", "core_high"), "contested_units")
+    found = held.join(shared.hint("merge"), "unit").filter("core OR label <> core_low OR label <> core_high")
+    return stage(found.select("id").distinct(), "contested")
+
+
+def rest_links(buckets: DataFrame, parts: DataFrame | None, sets: DataFrame, threshold: float) -> DataFrame | None:
     """The links that join components inside the buckets (bucket, id, n, head); the head has met all members before."""
     members = _labelled(buckets.filter("n > 2"), parts).select("bucket", "id", F.col("mine").alias("label"), (F.col("mine") != F.col("its")).alias("rest"))
     members = stage(members.distinct(), "members")
@@ -243,7 +305,7 @@ def rest_links(buckets: DataFrame, parts: DataFrame | None, texts: DataFrame, th
     members = stage(members.join(still.hint("merge"), "bucket").select("bucket", "id", "label", "rest"), "open_members")
     if members.isEmpty():
         return None
-    sets = shingle_sets(texts, members.select(F.col("id").alias("want")).distinct())
+    sets = wanted_sets(sets, members.select(F.col("id").alias("want")))
 
     def compare(group: pa.Table) -> pa.Table:
         ids, labels, first, inner = (group.column(c).to_numpy() for c in ("id", "label", "first", "inner"))
@@ -256,9 +318,22 @@ def rest_links(buckets: DataFrame, parts: DataFrame | None, texts: DataFrame, th
 
     # The rest is cut into q blocks, the head's component into p. Rest block i meets rest block j > i as (i, j), block m of
     # the head's component as (i, q + m), and itself within (i, q).
-    weight = members.join(sets.select("id", (F.octet_length("units") / 8).alias("weight")).hint("merge"), "id")
-    blocks = weight.groupBy("bucket").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, F.col("weight"))) / BLOCK_UNITS)).alias(n) for n, side in (("q", F.col("rest")), ("p", ~F.col("rest")))))
-    blocked = members.join(stage(blocks, "bucket_blocks").hint("merge"), "bucket").withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("q")).otherwise(F.col("p"))))
+    weight = sets.select("id", (F.octet_length("units") / 8).alias("weight"))
+
+    def cut(members: DataFrame) -> DataFrame:
+        n_blocks = lambda side: F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, F.col("weight"))) / BLOCK_UNITS))
+        return stage(members.join(weight.hint("merge"), "id").groupBy("bucket").agg(n_blocks(F.col("rest")).alias("q"), n_blocks(~F.col("rest")).alias("p")), "bucket_blocks")
+
+    blocks = cut(members)
+    large = blocks.filter("q + p > 2").select("bucket")
+    if not large.isEmpty():
+        # Of large buckets only the members that may have a link to another component stay.
+        suspects = members.join(large.hint("merge"), "bucket", "left_semi")
+        kept = contested(suspects.select("id", "label").distinct(), sets, threshold)
+        kept = small_join(suspects, kept, "id", "left_semi")
+        members = stage(members.join(large.hint("merge"), "bucket", "left_anti").unionByName(kept), "open_members")
+        blocks = cut(members)
+    blocked = members.join(blocks.hint("merge"), "bucket").withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("q")).otherwise(F.col("p"))))
     meets = F.expr(
         """if(rest,
             concat(
@@ -281,17 +356,20 @@ def near_links(texts: DataFrame, threshold: float, bands: int, rows: int) -> tup
     first = stage(met.groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "first_pairs")
     if first.isEmpty():
         return None, None
-    links = verified(first, texts, threshold)
+    # Units are hashed once for all texts that share a bucket.
+    sets = shingle_sets(texts, buckets.select(F.col("id").alias("want")))
+    links = verified(first, sets, threshold)
     parts = None if links.isEmpty() else connected_components(links)
     # The other heads of documents that are not in their component; each pair is met once, and no more pairs are left.
     apart = _labelled(met, parts).filter("mine <> its").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     apart = stage(apart.join(first.hint("merge"), ["a", "b"], "left_anti"), "other_pairs")
     if not apart.isEmpty():
-        more = verified(apart, texts, threshold)
+        ends = apart.select(F.col("a").alias("want")).unionByName(apart.select(F.col("b").alias("want")))
+        more = verified(apart, wanted_sets(sets, ends), threshold)
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = connected_components(links)
-    more = rest_links(buckets, parts, texts, threshold)
+    more = rest_links(buckets, parts, sets, threshold)
     if more is not None and not more.isEmpty():
         links = links.unionByName(more)
         parts = connected_components(links)

@@ -110,3 +110,50 @@ def test_top_k_with_clashing_names(spark):
     for n in ("query_id", "rank", "score", "_id", "block"):
         frame = frame.withColumn(n, F.lit(1))
     assert sorted(tuple(r) for r in top_k(frame, k=4, query_modulus=10).collect()) == topk_brute(vectors, 4, 10)
+
+
+def test_large_families_shrink_to_their_pairs(spark):
+    """A template family whose members are not alike enough gives no one to compare, near copies in it do, and of them all
+    links are kept."""
+    from kervan.llm import near_dedup
+    from tests.llm.test_operators import words
+
+    rng = random.Random(6)
+    template = words(rng, 100).split()
+    texts = []
+    for i in range(300):
+        w = template[:]
+        for at in (10, 40, 70):
+            w[at] = f"only{i}x{at}"
+        texts.append(" ".join(w))
+        if i % 60 == 0:
+            texts.append(" ".join([*w[:-1], "other"]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = near_dedup.shingle_sets(frame, frame.select(F.col("id").alias("want")))
+    members = frame.select("id", F.col("id").alias("label"))
+    pairs = {i for i, t in enumerate(texts) if t.endswith("other")}
+    assert {r["id"] for r in near_dedup.contested(members, sets, 0.8).collect()} == pairs | {i - 1 for i in pairs}
+    joined = members.withColumn("label", F.when(F.col("id").isin(*pairs), F.col("id") - 1).otherwise(F.col("id")))
+    assert near_dedup.contested(joined, sets, 0.8).isEmpty()
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_contested_members_hold_every_link(spark, threshold):
+    from kervan.llm import near_dedup
+
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(80):
+        w = base[: rng.randint(20, 60)]
+        for _ in range(rng.randint(0, 8)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(30)}"
+        texts.append(" ".join(w))
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = near_dedup.shingle_sets(frame, frame.select(F.col("id").alias("want")))
+    import numpy as np
+
+    units = {r["id"]: set(np.frombuffer(r["units"], np.uint64).tolist()) for r in sets.collect()}
+    linked = {i for i in units for j in units if i != j and len(units[i] & units[j]) >= threshold * len(units[i] | units[j])}
+    kept = {r["id"] for r in near_dedup.contested(frame.select("id", F.col("id").alias("label")), sets, threshold).collect()}
+    assert linked and linked <= kept
