@@ -29,8 +29,8 @@ def collapse_whitespace(c: Column) -> Column:
 
 def tidy(c: Column) -> Column:
     """normalize_text without NFKC: for text that is known to be composed, e.g. rendered from columns."""
-    c = F.translate(F.coalesce(c, F.lit("")), V.ZERO_WIDTH, "")
-    c = F.translate(c, V.WIDE_SPACES + V.DASHES, " " * len(V.WIDE_SPACES) + "-" * len(V.DASHES))
+    # Characters without a replacement, the zero-width ones, are dropped.
+    c = F.translate(F.coalesce(c, F.lit("")), V.WIDE_SPACES + V.DASHES + V.ZERO_WIDTH, " " * len(V.WIDE_SPACES) + "-" * len(V.DASHES))
     return collapse_whitespace(c)
 
 

@@ -149,8 +149,8 @@ def duplicate_content(s, d):
 
 
 def boilerplate_lines(s, d):
-    t = T.strip_boilerplate(F.col("text"), composed=True, patterns=LICENCE)
-    return table(s, d, "documents").select("doc_id", F.size(F.split(t, "\n")).cast("long").alias("n_lines"), F.length(t).cast("long").alias("n_kept"))
+    t = table(s, d, "documents").select("doc_id", T.strip_boilerplate(F.col("text"), composed=True, patterns=LICENCE).alias("t"))
+    return t.select("doc_id", F.size(F.split("t", "\n")).cast("long").alias("n_lines"), F.length("t").cast("long").alias("n_kept"))
 
 
 def boilerplate_defaults(s, d):
