@@ -1,6 +1,12 @@
 """The training-data pipeline: quality, exact dedup, near dedup, mixing, packing.
 
 Each stage works on all that its predecessor kept and is written as Parquet and read again before the next one.
+
+Defined results: stages judge rows, not ids, so rows with a null id take part in all of them. Null texts count as empty
+everywhere. Repeated rows (and texts equal but for A-Z case) leave one row in exact dedup, that of the largest id, a null id
+only where there is no other; near copies leave the one with the smallest id. A null source is a source of its own. The mix
+writes a document as often as it takes it, the last time cut to the words that are left. An empty table gives an empty result.
+Columns beside those of documents, whatever their names, are kept by all stages but the last.
 """
 
 from __future__ import annotations
