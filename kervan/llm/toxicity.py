@@ -30,7 +30,9 @@ from .labelled import held_out, labelled_sample
 from .tokenizing import sub_batches
 
 SAMPLE_DOCS = 20_000
+#: The model holds the strongest units, so many at most, and none that the sample holds more rarely.
 MODEL_UNITS = 1 << 16
+UNIT_COUNT = 5
 FILTER_BITS = 22
 PREFIXES = (None, 4, 5, 6, 8)
 PRIOR_WEIGHT = 20.0
@@ -147,8 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: i
     delta = F.log(inside / (ones + PRIOR_WEIGHT - inside)) - F.log(outside / (zeros + PRIOR_WEIGHT - outside))
     spread = F.sqrt(1 / inside + 1 / outside)
     odds = F.signum(delta) * F.greatest(F.abs(delta) - SHRINK * spread, F.lit(0.0))
-    counted = unit_counts(sample.select("text", "label")).filter(a + b >= 5)
-    # The model holds a bounded number of units: the strongest.
+    counted = unit_counts(sample.select("text", "label")).filter(a + b >= UNIT_COUNT)
     chosen = counted.select("unit", odds.alias("odds")).filter("odds <> 0").orderBy(F.desc(F.abs("odds")), "unit").limit(MODEL_UNITS).collect()
     units = np.array([r["unit"] for r in chosen], np.int64).view(np.uint64)
     scorer = Scorer(units, np.array([r["odds"] for r in chosen], np.float64))
