@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import remove_folder, shared_folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -20,7 +20,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, gives honest statistics."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.stage_path = path
+    return staged
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that no result reads any more."""
+    for table in tables:
+        remove_folder(table.sparkSession, table.stage_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_words import LOWER, NOT_SPACE, Words, mix64
-from .common import flat_bytes, one_row_each, shuffle_partitions, small_join, stage, text_or_empty
+from .common import flat_bytes, one_row_each, shuffle_partitions, small_join, stage, text_or_empty, unstage
 from .components import connected_components
 from .tokenizing import sub_batches
 
@@ -348,10 +348,11 @@ def rest_links(buckets: DataFrame, parts: DataFrame | None, sets: DataFrame, thr
 
 def near_links(texts: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Verified links between different texts (id, text), and the components they make; both None without links."""
-    buckets = stage(band_hashes(texts, bands, rows), "bands")
+    banded = stage(band_hashes(texts, bands, rows), "bands")
     # Staged, so that the join's own exchange can be split where a bucket is hot.
-    shared = stage(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n > 1"), "shared_buckets")
-    buckets = stage(buckets.join(shared.hint("merge"), "bucket"), "buckets")
+    shared = stage(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n > 1"), "shared_buckets")
+    buckets = stage(banded.join(shared.hint("merge"), "bucket"), "buckets")
+    unstage(banded)
     met = buckets.filter("id <> head")
     first = stage(met.groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "first_pairs")
     if first.isEmpty():
@@ -373,6 +374,7 @@ def near_links(texts: DataFrame, threshold: float, bands: int, rows: int) -> tup
     if more is not None and not more.isEmpty():
         links = links.unionByName(more)
         parts = connected_components(links)
+    unstage(buckets, sets, shared)
     return (None, None) if parts is None else (links, parts)
 
 
