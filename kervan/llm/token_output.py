@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, new_path, stage, text_or_empty, with_run_start
+from .common import flat_bytes, new_path, stage, text_or_empty, unstage, with_run_start
 from .tokenizing import release_pieces, sub_batches, worker_pieces
 
 BLOCK_SCHEMA = "run int, seq long, doc_ids binary, doc_nulls binary, lengths binary, control binary, data binary"
@@ -143,7 +143,8 @@ def write_token_ids(
     table.write.parquet(f"{out_path}/ranks")
     order = [F.col("id").asc_nulls_first(), F.col("tie")]
     ordered = raw.withColumn("tie", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order, "ids").select("id", "ids", "width")
-    ordered.mapInArrow(encode, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{out_path}/blocks")
+    ordered.mapInArrow(encode, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{out_path}/blocks")
+    unstage(staged)
 
 
 def _flat_ids(blobs: pa.Array, widths: pa.Array) -> np.ndarray:
