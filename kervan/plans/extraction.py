@@ -9,7 +9,7 @@ from ..functions.text import ascii_fold
 from ..operators import discovery as D
 from ..operators import forms as M
 from ..operators import pages as P
-from ..session import ship_package, staged, table
+from ..session import ship_package, spread, staged, table
 from .roles import tr_date, tr_day_month, tr_number
 
 
@@ -159,14 +159,17 @@ def evidence_rows(s, d):
 # ---- markup ----
 
 
-def _nodes(pages):
-    """The pages' nodes, parsed once and written: each query reads them several times."""
-    return staged(P.page_nodes(pages), "nodes")
+FORM_TAGS = ("select", "input", "textarea", "option", "label")
+
+
+def _nodes(pages, tags=()):
+    """The pages' nodes, parsed once and written, for queries that read them several times."""
+    return staged(P.page_nodes(pages, tags=tags), "nodes")
 
 
 def _supplier_pages(s, d):
     """A page per supplier with a rate table of two terms, a table without rates, and a caption by nation."""
-    sup = table(s, d, "supplier")
+    sup = spread(table(s, d, "supplier"), "s_suppkey")
     rate = tr_number(F.col("s_nationkey") / 10 + 1)
     caption = F.when(F.col("s_nationkey") < 8, "Sıfır konut için geçerli oranlar").when(F.col("s_nationkey") < 16, "Sigortasız müşteriler için oranlar").otherwise("Bütün müşteriler için oranlar")
     row = lambda term, r: F.concat(F.lit(f"<tr><td>{term}</td><td>%"), r, F.lit("</td><td>0,50%</td></tr>"))
@@ -197,7 +200,7 @@ def table_cells(s, d):
 
 def _part_pages(s, d):
     """A calculator page per part: variant select, term select, amount range, radios."""
-    part = table(s, d, "part")
+    part = spread(table(s, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
     html = F.concat(
         F.lit('<html><body><form><label for="tur">Finansman türü</label><select name="urun" id="tur"><option value="">Seçin</option><option value="1">Sıfır Konut</option><option value="2">2. El Araç</option><option value="3">'), "p_name",
         F.lit('</option></select><label>Vade <select name="vade"><option>12 Ay</option><option>36 Ay</option><option>'), F.col("p_size").cast("string"),
@@ -208,23 +211,23 @@ def _part_pages(s, d):
 
 def form_options(s, d):
     ship_package(s)
-    return M.form_options(_nodes(_part_pages(s, d))).select("page_id", "name", "value", "label")
+    return M.form_options(P.page_nodes(_part_pages(s, d), tags=FORM_TAGS)).select("page_id", "name", "value", "label")
 
 
 def form_controls(s, d):
     ship_package(s)
-    n = _nodes(_part_pages(s, d))
+    n = _nodes(_part_pages(s, d), FORM_TAGS)
     return M.control_labels(n, M.form_controls(n)).select("page_id", "name", "kind", "label", "pre")
 
 
 def form_variants(s, d):
     ship_package(s)
-    return M.variant_candidates(M.form_options(_nodes(_part_pages(s, d))), composed=True).select("page_id", "label", "variant_key", "dimension")
+    return M.variant_candidates(M.form_options(P.page_nodes(_part_pages(s, d), tags=FORM_TAGS)), composed=True).select("page_id", "label", "variant_key", "dimension")
 
 
 def form_sampling(s, d):
     ship_package(s)
-    c = M.form_summary(P.page_nodes(_part_pages(s, d)))
+    c = M.form_summary(P.page_nodes(_part_pages(s, d), tags=FORM_TAGS))
     return c.select("page_id", F.col("combinations").cast("long").alias("combinations"), M.sampling_decision(F.col("combinations"), F.lit("api")).alias("decision"), F.array_join("allowed_terms", ",").alias("terms"), _double(F.col("amount_min")).alias("amount_min"), _double(F.col("amount_max")).alias("amount_max"))
 
 
@@ -244,7 +247,7 @@ def card_labels(s, d):
     """A listing per customer of two cards, each with its category beside the link, and a link outside, for which all
     of the main part is a card."""
     ship_package(s)
-    c = table(s, d, "customer")
+    c = spread(table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey")
     key = F.col("c_custkey").cast("string")
     card = lambda label, at: F.concat(F.lit('<div class="card"><span class="x etiket">'), label, F.lit(f'</span><div><p><a href="/{at}/'), key, F.lit('">git</a></p></div></div>'))
     html = F.concat(F.lit("<html><body><main>"), card(F.col("c_mktsegment"), "a"), card(F.concat(F.lit("Ulus "), F.col("c_nationkey").cast("string")), "b"), F.lit('<a href="/">dışarıda</a></main></body></html>'))
@@ -257,7 +260,7 @@ def campaign_page_rows(s, d):
     of suppliers of nation 3 are documents of another kind, those of nation 4 have no
     heading, so no title."""
     ship_package(s)
-    sup = table(s, d, "supplier")
+    sup = spread(table(s, d, "supplier"), "s_suppkey")
     n, key = F.col("s_nationkey"), F.col("s_suppkey").cast("string")
     title = F.concat(F.lit("<h1>Teklif "), key, F.lit("</h1>"))
     html = F.concat(
@@ -278,7 +281,7 @@ def campaign_page_rows(s, d):
 def _noisy_pages(s, d):
     """A page per customer around two known paragraphs: noise of every kind, a boilerplate line, and a main element that
     is long enough (segment BUILDING), marked by class (FURNITURE), too short (MACHINERY) or missing."""
-    c = table(s, d, "customer")
+    c = spread(table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
     key, seg = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
     text = F.concat(F.lit("<h1>Başlık "), key, F.lit("</h1><p>Birinci <b>paragraf</b> metni "), key, F.lit(" burada yer alır.</p><p>İkinci paragraf\n  burada biter.</p><table><tr><td>Vade</td><td>"), key, F.lit("</td></tr></table><p>Tüm hakları saklıdır.</p>"))
     main = F.when(seg == "BUILDING", F.concat(F.lit("<main>"), text, F.lit("</main><div>Dışarıda</div>"))).when(seg == "FURNITURE", F.concat(F.lit('<div class="x campaign-detail">'), text, F.lit("</div><p>Dışarıda</p>"))).when(seg == "MACHINERY", F.concat(F.lit("<main>Kısa</main>"), text)).otherwise(text)
@@ -292,7 +295,7 @@ def _noisy_pages(s, d):
 def cleaned_texts(s, d):
     """Clean text of the rendered pages: noise out, main content chosen, lines and cells set."""
     ship_package(s)
-    return P.clean_text(P.main_content(P.without_noise(_nodes(_noisy_pages(s, d)))))
+    return P.clean_text(P.main_content(P.without_noise(P.page_nodes(_noisy_pages(s, d)))))
 
 
 FUNCTIONS = [validity_windows, first_dates, window_sources, money_roundtrip, money_ranges, decimal_forms, rate_ranges, term_months, instalment_counts, reward_tiers, limits_record, vehicle_ages, derived_rates, participation, evidence_rows, rate_table_rows, condition_sections, table_cells, form_options, form_controls, form_variants, form_sampling, legal_notices, calculator_mechanisms, card_labels, campaign_page_rows, cleaned_texts]

@@ -18,7 +18,7 @@ from ..operators import pages as P
 from ..operators import products as R
 from ..operators import taxonomy as X
 from ..operators.upsert import upsert
-from ..session import shared_folder, ship_package, staged, table
+from ..session import shared_folder, ship_package, spread, staged, table
 from ..sources import archives as A
 from ..sources import storage
 from ..streaming import incremental
@@ -67,7 +67,7 @@ SITES = 3
 
 def _site_pages(s, d):
     """Pages of three sites, which name and order their sections differently, one per supplier."""
-    sup = table(s, d, "supplier")
+    sup = spread(table(s, d, "supplier"), "s_suppkey")
     key, n = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % SITES
     day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("s_suppkey") % 300).cast("int"))
     span = F.concat(tr_date(day), F.lit(" - "), tr_date(F.date_add(day, 20)), F.lit(" tarihleri arasında"))
@@ -104,9 +104,13 @@ def site_campaign_rows(s, d):
     return rows.drop("source_url")
 
 
+#: A text of a line takes less than a page does.
+ORDERS_PER_TASK = 50_000
+
+
 def evidence_spans(s, d):
     """Evidence of every field in texts that name each price twice."""
-    o = table(s, d, "orders")
+    o = spread(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice"), "o_orderkey", ORDERS_PER_TASK)
     start = F.to_date("o_orderdate")
     price, n = tr_number(F.col("o_totalprice")), (F.col("o_orderkey") % 36 + 1).cast("string")
     rate = tr_number(F.col("o_orderkey") % 500 / 100)
