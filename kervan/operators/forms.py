@@ -94,10 +94,13 @@ def form_summary(nodes: DataFrame) -> DataFrame:
     return pages.select("page_id", "combinations", decimal_tr(F.col("amount.min")).alias("amount_min"), decimal_tr(F.col("amount.max")).alias("amount_max"), "allowed_terms")
 
 
+def _worded() -> Column:
+    return ~F.col("label").rlike(r"^[\d\s.,%]+$")
+
+
 def variant_fields(options: DataFrame) -> DataFrame:
     """page_id, name of the select with most options among those with at least two labels that are not numbers."""
-    worded = ~F.col("label").rlike(r"^[\d\s.,%]+$")
-    sizes = options.groupBy("page_id", "name").agg(F.count("*").alias("n"), F.count_if(worded).alias("words"), F.min("pre").alias("first"))
+    sizes = options.groupBy("page_id", "name").agg(F.count("*").alias("n"), F.count_if(_worded()).alias("words"), F.min("pre").alias("first"))
     return sizes.filter("words >= 2").groupBy("page_id").agg(F.max_by("name", F.struct("n", -F.col("first"))).alias("name"))
 
 
@@ -111,8 +114,12 @@ def variant_key(label: Column, composed: bool = True) -> Column:
 
 
 def variant_candidates(options: DataFrame, composed: bool = True) -> DataFrame:
-    """Options of the variant field with their variant key; labels that match nothing stay null."""
-    chosen = options.join(variant_fields(options).hint("merge"), ["page_id", "name"])
+    """Options of the variant field (see variant_fields) with their variant key; labels that match nothing stay null. The
+    field is found by windows on the page's options, so that these are made once."""
+    rows = options.withColumn("_worded", _worded())
+    field, page = Window.partitionBy("page_id", "name"), Window.partitionBy("page_id")
+    size = F.when(F.count_if("_worded").over(field) >= 2, F.struct(F.count("*").over(field).alias("n"), (-F.min("pre").over(field)).alias("first"), "name"))
+    chosen = rows.withColumn("_size", size).withColumn("_best", F.max("_size").over(page)).filter(F.col("name") == F.col("_best.name"))
     return chosen.withColumn("v", variant_key(F.col("label"), composed)).select("page_id", "name", "pre", "label", "value", F.col("v.dimension").alias("dimension"), F.col("v.key").alias("variant_key"))
 
 
