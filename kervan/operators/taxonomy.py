@@ -11,12 +11,12 @@ import re
 from decimal import Decimal
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions import vocabulary as V
-from ..functions.text import ascii_fold, fold_literal, lower_tr, normalize_text, tidy
+from ..functions.text import ascii_fold, fold_literal, let, lower_tr, normalize_text, tidy
 from ..session import remove_folder
 
 RULE_SCHEMA = "axis string, value string, source string, confidence decimal(4,3), scope string, priority int, word string"
@@ -52,22 +52,52 @@ def _own_category(campaigns: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(table), "word").select("campaign_id", "axis", "value", "source", F.lit("1.000").cast("decimal(4,3)").alias("confidence"), F.substring(tidy(F.col("raw")), 1, V.EVIDENCE_MAX).alias("evidence"), "seq")
 
 
+def _longest_of(words: list[str]) -> str:
+    """A pattern of the longest of the words that begins at a place: words with a common beginning share it, so that a text is
+    looked at letter by letter, not word by word."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def below(node: dict) -> str:
+        branches = [re.escape(c).replace(r"\ ", " ") + below(n) for c, n in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        inside = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
+        return inside + "?" if "" in node else inside
+
+    return below(tree)
+
+
 def _rule_hits(campaigns: DataFrame, rules: list[tuple], composed: bool) -> DataFrame:
     spark = campaigns.sparkSession
     folded = [(*r[:6], fold_literal(r[6])) for r in rules]
     words = sorted({r[6] for r in folded}, key=lambda w: (-len(w), w))
-    pattern = r"(?<![a-z0-9])(?=(" + "|".join(re.escape(w).replace(r"\ ", " ") for w in words) + "))"
+    pattern = rf"(?<![a-z0-9])(?=({_longest_of(words)}))"
     expanded = [(w, *r, rf"(?<![a-z0-9]){re.escape(r[6])}") for w in words for r in folded if w.startswith(r[6])]
     table = F.broadcast(spark.createDataFrame(expanded, f"captured string, {RULE_SCHEMA}, at_start string"))
     norm = (lambda c: tidy(c)) if composed else normalize_text
     head = F.concat_ws(" ", F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("description"), F.lit("")))
     whole = F.concat_ws(" ", head, F.nullif(F.col("conditions_text"), F.lit("")))
     key = lambda c: ascii_fold(lower_tr(c))
-    texts = campaigns.select("campaign_id", norm(head).alias("head"), norm(whole).alias("all"))
-    keyed = texts.withColumn("all_key", key(F.col("all"))).withColumn("captured", F.explode(F.array_distinct(F.regexp_extract_all("all_key", F.lit(pattern), F.lit(1)))))
+    more = F.coalesce(F.col("conditions_text"), F.lit("")) != ""
+    texts = campaigns.select("campaign_id", norm(head).alias("head"), F.when(more, norm(whole)).alias("more"))
+
+    def scanned(x: Column) -> Column:
+        captured = F.array_distinct(F.regexp_extract_all(x["all_key"], F.lit(pattern), F.lit(1)))
+        return F.struct(*[x[c].alias(c) for c in ("head", "all", "head_key", "all_key")], captured.alias("captured"))
+
+    # Texts are long: each form of one is bound, to be worked out once for a text and not for each of its hits.
+    both = F.struct(F.col("head").alias("head"), key(F.col("head")).alias("head_key"), F.col("more").alias("more"))
+    keys = let(both, lambda x: F.struct(x["head"].alias("head"), x["head_key"].alias("head_key"), F.coalesce(x["more"], x["head"]).alias("all"), F.coalesce(key(x["more"]), x["head_key"]).alias("all_key")))
+    bound = texts.select("campaign_id", let(keys, scanned).alias("t"))
+    keyed = bound.select("campaign_id", "t", F.explode("t.captured").alias("captured"))
     # The head starts the whole text, so its words are among those found there; only hits of head rules look again.
-    text = F.when(F.col("scope") == "head", F.col("head")).otherwise(F.col("all"))
-    hits = keyed.join(table, "captured").withColumn("text", text).withColumn("key", key(F.col("text"))).filter("scope = 'all' OR key RLIKE at_start")
+    of = lambda c: F.when(F.col("scope") == "head", F.col("t")[c[0]]).otherwise(F.col("t")[c[1]])
+    hits = keyed.join(table, "captured").withColumn("text", of(("head", "all"))).withColumn("key", of(("head_key", "all_key"))).filter("scope = 'all' OR key RLIKE at_start")
     place = F.expr("locate(word, key)")
     begin = F.greatest(place - 40, F.lit(1))
     evidence = F.substring(F.substring(F.col("text"), begin, place + F.length("word") + 60 - begin), 1, V.EVIDENCE_MAX)
@@ -83,12 +113,14 @@ def strongest(labels: DataFrame) -> DataFrame:
 
 
 def with_fallback(labels: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Campaigns without a sector get the general one with low confidence."""
-    bare = campaigns.select("campaign_id").join(labels.filter("axis = 'sector'").select("campaign_id").hint("merge"), "campaign_id", "left_anti")
-    fallback = bare.select(
+    """Campaigns without a sector get the general one with low confidence. All get it beside their labels, and a window on
+    the campaign drops it again where there is a sector, so that the labels are made once."""
+    fallback = campaigns.select(
         "campaign_id", F.lit("sector").alias("axis"), F.lit(V.FALLBACK_SECTOR).alias("value"), F.lit("keyword").alias("source"), F.lit(V.FALLBACK_CONFIDENCE).cast("decimal(4,3)").alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.lit(10**6).alias("seq")
     )
-    return labels.unionByName(fallback)
+    both = labels.withColumn("_bare", F.lit(False)).unionByName(fallback.withColumn("_bare", F.lit(True)))
+    known = F.coalesce(F.bool_or((F.col("axis") == "sector") & ~F.col("_bare")).over(Window.partitionBy("campaign_id")), F.lit(False))
+    return both.withColumn("_known", known & F.col("campaign_id").isNotNull()).filter("NOT (_bare AND _known)").drop("_bare", "_known")
 
 
 def categorise(campaigns: DataFrame, rules: list[tuple] | None = None, composed: bool = False) -> DataFrame:
