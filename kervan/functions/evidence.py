@@ -14,16 +14,15 @@ from pyspark.sql import functions as F
 
 from . import extract as E
 from . import vocabulary as V
-from .text import ascii_fold
+from .text import ascii_fold, let
 
 CONTEXT = 40
 
 
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct(raw, start, end)> of all matches in order. Places count from 1, the end is excluded."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<raw:string,start:int,end:int>>").alias("spans"))
+    none = F.array().cast("array<struct<raw:string,start:int,end:int>>")
+    begin = F.struct(F.lit(1).alias("at"), none.alias("spans"))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["g"])
@@ -31,7 +30,11 @@ def match_spans(text: Column, pattern: str) -> Column:
         span = F.struct(pair["m"].alias("raw"), start.alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    return F.aggregate(pairs, begin, step)["spans"]
+    def placed(found: Column) -> Column:
+        pairs = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"))
+        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, begin, step)["spans"])
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 @dataclass(frozen=True)
@@ -88,25 +91,21 @@ def evidence(df: DataFrame, id_col: str, text_col: str, url_col: str | None = No
     texts give none."""
     fields = fields or FIELDS
     text = F.col("_text")
-    folded = ascii_fold(text)
     base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (F.col(url_col) if url_col else F.lit(None).cast("string")).alias("_url"))
-    found = F.array(*[F.struct(F.lit(name).alias("field_name"), match_spans(folded if f.folded else text, f.pattern).alias("spans")) for name, f in fields.items()])
-    rows = base.filter(text.isNotNull()).select("_id", "_text", "_url", F.explode(found).alias("f")).select("_id", "_text", "_url", "f.field_name", F.posexplode("f.spans").alias("seq", "span"))
 
-    def per_field(pick: Callable[[Field], Column]) -> Column:
-        (first, rule), *rest = fields.items()
-        out = F.when(F.col("field_name") == first, pick(rule))
-        for name, f in rest:
-            out = out.when(F.col("field_name") == name, pick(f))
-        return out
+    def matches(name: str, f: Field) -> Column:
+        """The field's matches with a valid value, which is worked out once, and their numbers among all of its matches."""
+        typed = lambda s, i: F.struct(F.lit(name).alias("field_name"), i.alias("seq"), s.alias("span"), f.value(s["raw"]).alias("value"), f.unit(s["raw"]).alias("unit"), F.lit(f.confidence).alias("confidence"))
+        spans = let(ascii_fold(text), lambda folded: match_spans(folded, f.pattern)) if f.folded else match_spans(text, f.pattern)
+        return F.filter(F.transform(spans, typed), lambda m: m["value"] != "")
 
+    found = F.concat(*[matches(name, f) for name, f in fields.items()])
+    rows = base.filter(text.isNotNull()).select("_id", "_text", "_url", F.explode(found).alias("m")).select("_id", "_text", "_url", "m.*")
     raw = F.col("span.raw")
     begin = F.greatest(F.col("span.start") - CONTEXT, F.lit(1))
-    out = rows.select(
+    return rows.select(
         F.col("_id").alias(id_col), "field_name", "seq", F.substring(text, F.col("span.start"), F.length(raw)).alias("value_raw"),
-        per_field(lambda f: f.value(raw)).alias("value_normalized"), per_field(lambda f: f.unit(raw)).alias("unit"),
-        F.substring(text, begin, F.col("span.end") + CONTEXT - begin).alias("evidence_text"),
+        F.col("value").alias("value_normalized"), "unit", F.substring(text, begin, F.col("span.end") + CONTEXT - begin).alias("evidence_text"),
         F.col("span.start").alias("evidence_char_start"), F.col("span.end").alias("evidence_char_end"), F.col("_url").alias("evidence_source_url"),
-        per_field(lambda f: F.lit(f.confidence)).cast("decimal(4,3)").alias("confidence"), F.lit("rule").alias("extraction_method"),
+        F.col("confidence").cast("decimal(4,3)").alias("confidence"), F.lit("rule").alias("extraction_method"),
     )
-    return out.filter("value_normalized IS NOT NULL AND value_normalized <> ''")
